@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from plumbline.llm.pii import find_pii
+from plumbline.llm.quality import score_quality
 from plumbline.llm.simhash import simhash_components
 
 
@@ -11,5 +13,13 @@ def op1_simhash(spark, sf_dir):
     return simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-QUERIES: dict[str, Callable] = {"op1_simhash": op1_simhash}
+def op7_quality(spark, sf_dir):
+    return score_quality(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op8_pii(spark, sf_dir):
+    return find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+QUERIES: dict[str, Callable] = {"op1_simhash": op1_simhash, "op7_quality": op7_quality, "op8_pii": op8_pii}
 ORACLES: dict[str, str] = {}
