@@ -4,15 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from plumbline.llm.packing import pack_documents
 from plumbline.llm.pii import find_pii
 from plumbline.llm.quality import score_quality
 from plumbline.llm.simhash import simhash_components
 
 
+def vocabulary(name: str) -> str:
+    """Where the public vocabulary file of that name is."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_simhash(spark, sf_dir):
     return simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op4_packing(spark, sf_dir):
+    return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary("byte_bpe_50k.json"))
+
+
 def op7_quality(spark, sf_dir):
     return score_quality(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -21,5 +33,5 @@ def op8_pii(spark, sf_dir):
     return find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-QUERIES: dict[str, Callable] = {"op1_simhash": op1_simhash, "op7_quality": op7_quality, "op8_pii": op8_pii}
+QUERIES: dict[str, Callable] = {"op1_simhash": op1_simhash, "op4_packing": op4_packing, "op7_quality": op7_quality, "op8_pii": op8_pii}
 ORACLES: dict[str, str] = {}
