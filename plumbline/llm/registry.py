@@ -8,6 +8,7 @@ from plumbline.llm.packing import pack_documents
 from plumbline.llm.pii import find_pii
 from plumbline.llm.quality import score_quality
 from plumbline.llm.simhash import simhash_components
+from plumbline.llm.telephony import telephony_digests
 
 
 def vocabulary(name: str) -> str:
@@ -25,6 +26,10 @@ def op4_packing(spark, sf_dir):
     return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary("byte_bpe_50k.json"))
 
 
+def op5_telephony(spark, sf_dir):
+    return telephony_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op7_quality(spark, sf_dir):
     return score_quality(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -33,5 +38,5 @@ def op8_pii(spark, sf_dir):
     return find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-QUERIES: dict[str, Callable] = {"op1_simhash": op1_simhash, "op4_packing": op4_packing, "op7_quality": op7_quality, "op8_pii": op8_pii}
+QUERIES: dict[str, Callable] = {"op1_simhash": op1_simhash, "op4_packing": op4_packing, "op5_telephony": op5_telephony, "op7_quality": op7_quality, "op8_pii": op8_pii}
 ORACLES: dict[str, str] = {}
