@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from plumbline.llm.additive import nearest
 from plumbline.llm.packing import pack_documents
 from plumbline.llm.pii import find_pii
 from plumbline.llm.quality import score_quality
@@ -30,6 +31,10 @@ def op5_telephony(spark, sf_dir):
     return telephony_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op6_additive(spark, sf_dir):
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op7_quality(spark, sf_dir):
     return score_quality(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -38,5 +43,5 @@ def op8_pii(spark, sf_dir):
     return find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-QUERIES: dict[str, Callable] = {"op1_simhash": op1_simhash, "op4_packing": op4_packing, "op5_telephony": op5_telephony, "op7_quality": op7_quality, "op8_pii": op8_pii}
+QUERIES: dict[str, Callable] = {"op1_simhash": op1_simhash, "op4_packing": op4_packing, "op5_telephony": op5_telephony, "op6_additive": op6_additive, "op7_quality": op7_quality, "op8_pii": op8_pii}
 ORACLES: dict[str, str] = {}
