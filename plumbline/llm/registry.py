@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from plumbline.llm.additive import nearest
+from plumbline.llm.ngrams import score_texts
 from plumbline.llm.packing import pack_documents
 from plumbline.llm.pii import find_pii
 from plumbline.llm.quality import score_quality
@@ -43,5 +44,9 @@ def op8_pii(spark, sf_dir):
     return find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-QUERIES: dict[str, Callable] = {"op1_simhash": op1_simhash, "op4_packing": op4_packing, "op5_telephony": op5_telephony, "op6_additive": op6_additive, "op7_quality": op7_quality, "op8_pii": op8_pii}
+def op10_ngrams(spark, sf_dir):
+    return score_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+QUERIES: dict[str, Callable] = {"op1_simhash": op1_simhash, "op10_ngrams": op10_ngrams, "op4_packing": op4_packing, "op5_telephony": op5_telephony, "op6_additive": op6_additive, "op7_quality": op7_quality, "op8_pii": op8_pii}
 ORACLES: dict[str, str] = {}
