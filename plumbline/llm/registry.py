@@ -11,6 +11,7 @@ from plumbline.llm.pii import find_pii
 from plumbline.llm.quality import score_quality
 from plumbline.llm.simhash import simhash_components
 from plumbline.llm.telephony import telephony_digests
+from plumbline.llm.wrappers import extract_main_text
 
 
 def vocabulary(name: str) -> str:
@@ -24,6 +25,10 @@ def op1_simhash(spark, sf_dir):
     return simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op3_wrappers(spark, sf_dir):
+    return extract_main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op4_packing(spark, sf_dir):
     return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary("byte_bpe_50k.json"))
 
@@ -48,5 +53,5 @@ def op10_ngrams(spark, sf_dir):
     return score_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-QUERIES: dict[str, Callable] = {"op1_simhash": op1_simhash, "op10_ngrams": op10_ngrams, "op4_packing": op4_packing, "op5_telephony": op5_telephony, "op6_additive": op6_additive, "op7_quality": op7_quality, "op8_pii": op8_pii}
+QUERIES: dict[str, Callable] = {"op1_simhash": op1_simhash, "op10_ngrams": op10_ngrams, "op3_wrappers": op3_wrappers, "op4_packing": op4_packing, "op5_telephony": op5_telephony, "op6_additive": op6_additive, "op7_quality": op7_quality, "op8_pii": op8_pii}
 ORACLES: dict[str, str] = {}
