@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -81,7 +82,7 @@ class PieceModel:
         if any(p[2] == USER_DEFINED for p in self.pieces) or trainer.get(24, 0):
             raise ValueError("user-defined pieces and markers as suffixes are not supported")
 
-    @property
+    @cached_property
     def by_words(self) -> bool:
         """Whether no piece joins the marker to a character before it."""
         return self.escape and not any(MARK in p.lstrip(MARK) for p, _, kind in self.pieces if kind == NORMAL)
@@ -155,7 +156,11 @@ class PieceCoder:
         return self.whole.normalizer.normalize_str(text)
 
     def _split(self, text: str) -> list[str]:
-        return _WORDS.findall(text) if self.spec.by_words else [text] if text else []
+        if not self.spec.by_words:
+            return [text] if text else []
+        if text[:1] == MARK and MARK + MARK not in text:
+            return [MARK + w for w in text[1:].split(MARK)]
+        return _WORDS.findall(text)
 
     def _add(self, new: list[str]) -> None:
         ids = [e.ids for e in self.bare.encode_batch_fast(new, add_special_tokens=False)]

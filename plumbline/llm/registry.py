@@ -7,6 +7,7 @@ from collections.abc import Callable
 from plumbline.llm.additive import nearest
 from plumbline.llm.ngrams import score_texts
 from plumbline.llm.packing import pack_documents
+from plumbline.llm.pieces import encode_pieces
 from plumbline.llm.pii import find_pii
 from plumbline.llm.quality import score_quality
 from plumbline.llm.simhash import simhash_components
@@ -25,6 +26,10 @@ def op1_simhash(spark, sf_dir):
     return simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op2_pieces(spark, sf_dir):
+    return encode_pieces(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary("piece_bpe_32k.model"), with_ids=False)
+
+
 def op3_wrappers(spark, sf_dir):
     return extract_main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -53,5 +58,5 @@ def op10_ngrams(spark, sf_dir):
     return score_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-QUERIES: dict[str, Callable] = {"op1_simhash": op1_simhash, "op10_ngrams": op10_ngrams, "op3_wrappers": op3_wrappers, "op4_packing": op4_packing, "op5_telephony": op5_telephony, "op6_additive": op6_additive, "op7_quality": op7_quality, "op8_pii": op8_pii}
+QUERIES: dict[str, Callable] = {"op1_simhash": op1_simhash, "op10_ngrams": op10_ngrams, "op2_pieces": op2_pieces, "op3_wrappers": op3_wrappers, "op4_packing": op4_packing, "op5_telephony": op5_telephony, "op6_additive": op6_additive, "op7_quality": op7_quality, "op8_pii": op8_pii}
 ORACLES: dict[str, str] = {}
