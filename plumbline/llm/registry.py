@@ -12,6 +12,7 @@ from plumbline.llm.pii import find_pii
 from plumbline.llm.quality import score_quality
 from plumbline.llm.simhash import simhash_components
 from plumbline.llm.telephony import telephony_digests
+from plumbline.llm.toolcalls import ORACLE_SQL as TOOLCALLS_SQL, link_conversations
 from plumbline.llm.wrappers import extract_main_text
 
 
@@ -54,9 +55,25 @@ def op8_pii(spark, sf_dir):
     return find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op9_toolcalls(spark, sf_dir):
+    return link_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op10_ngrams(spark, sf_dir):
     return score_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-QUERIES: dict[str, Callable] = {"op1_simhash": op1_simhash, "op10_ngrams": op10_ngrams, "op2_pieces": op2_pieces, "op3_wrappers": op3_wrappers, "op4_packing": op4_packing, "op5_telephony": op5_telephony, "op6_additive": op6_additive, "op7_quality": op7_quality, "op8_pii": op8_pii}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable] = {
+    "op1_simhash": op1_simhash,
+    "op2_pieces": op2_pieces,
+    "op3_wrappers": op3_wrappers,
+    "op4_packing": op4_packing,
+    "op5_telephony": op5_telephony,
+    "op6_additive": op6_additive,
+    "op7_quality": op7_quality,
+    "op8_pii": op8_pii,
+    "op9_toolcalls": op9_toolcalls,
+    "op10_ngrams": op10_ngrams,
+}
+#: Only tool-call linking can be put in SQL at a bearable cost; the others are tested by brute force.
+ORACLES: dict[str, str] = {"op9_toolcalls": TOOLCALLS_SQL}
