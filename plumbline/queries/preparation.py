@@ -1,2 +1,76 @@
-QUERIES = {}
-ORACLES = {}
+"""Sampling, redaction and projection queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from plumbline.functions.text import SPACE
+from plumbline.operators import rules, sampling
+from plumbline.operators.strata import shared_keys
+from plumbline.plans.tables import load
+
+WORDS = f"list_filter(regexp_split_to_array(coalesce(text, ''), '{SPACE}'), lambda w: w <> '')"
+KEY = lambda c: f"md5('17:' || {c})"
+CELLS = [("en", "src1"), ("en", "src2"), ("fr", "src1"), ("de", "src3"), ("es", "src2")]
+
+
+def _docs(s, d):
+    return load(s, d, "documents").select(F.col("doc_id").alias("id"), "lang", "source", "text")
+
+
+def _cells(s):
+    return s.createDataFrame(CELLS, "lang string, source string")
+
+
+def _leaves(s, d):
+    """Page addresses and document texts as leaves (id, path, value)."""
+    p = load(s, d, "pages").select(F.col("page_id").alias("id"), F.lit("$.url").alias("path"), F.col("url").alias("value"))
+    return p.unionByName(load(s, d, "documents").select(F.col("doc_id").alias("id"), F.lit("$.text").alias("path"), F.col("text").alias("value")))
+
+
+def _flat_events(s, d):
+    e = load(s, d, "events").select("event_id", F.to_json(F.struct("event_type", F.array(F.col("user_id"), F.col("event_id")).alias("ids"))).alias("doc"))
+    return rules.flatten(e, "event_id", "doc")
+
+
+CELL_SQL = " OR ".join(f"(lang = '{a}' AND source = '{b}')" for a, b in CELLS)
+QUERIES = {
+    "clip_and_filter": lambda s, d: sampling.clip_and_filter(_docs(s, d), 50, 300).select("id", F.md5("text").alias("text_md5")),
+    "word_range": lambda s, d: sampling.within_words(_docs(s, d), 50, 500).select("id"),
+    "wanted_cells": lambda s, d: sampling.wanted(_docs(s, d), _cells(s)).select("id", sampling.cell_key("lang", "source").alias("cell")),
+    "stratified_sample": lambda s, d: sampling.first_of_each(_docs(s, d), ["lang", "source"], 5).select("id", "lang", "source"),
+    "class_subsample": lambda s, d: sampling.class_subsample(_docs(s, d), 60, "lang", "id").select("id", "lang"),
+    "window_subsample": lambda s, d: sampling.window_subsample(_docs(s, d), ["source"], 4, "id").select("id", "source"),
+    "prepared_slice": lambda s, d: sampling.prepare_slice(_docs(s, d), _cells(s), 6).select("id", "lang", "source"),
+    "mapped_rows": lambda s, d: sampling.map_rows(_docs(s, d).select("id", F.when(F.col("lang") == "en", "human").otherwise(F.col("lang")).alias("model"), F.col("source").alias("domain"), F.when(F.col("id") % 3 == 0, " ").otherwise("swap").alias("attack"), F.col("text").alias("generation"))).select("id", "label", F.col("meta")["domain"].alias("domain"), F.col("meta")["attack"].alias("attack")),
+    "dedup_first": lambda s, d: sampling.first_by(_docs(s, d).select(F.md5("text").alias("h"), "id", "source"), ["h"], "id").select("h", "id", "source"),
+    "resume_todo": lambda s, d: sampling.still_to_do(_docs(s, d), load(s, d, "labels").select(F.col("doc_id").alias("id"))).select("id"),
+    "rehydrated": lambda s, d: sampling.rehydrate(load(s, d, "labels").select(F.col("doc_id").alias("id"), "quality", F.lit("stale").alias("source")), _docs(s, d).select("id", "lang", "source")).select("id", "quality", "lang", "source"),
+    "redaction_hits": lambda s, d: rules.redaction_hits(_leaves(s, d), ("arxiv.org",)).select("id", "path", "rule", "hit"),
+    "flattened_documents": lambda s, d: _flat_events(s, d).select("id", "path", "value"),
+    "public_projection": lambda s, d: rules.public_projection(load(s, d, "documents"), ["doc_id", "lang", "license"]),
+    "host_projection": lambda s, d: load(s, d, "supplier").select("s_suppkey", rules.host_projection(F.element_at(F.array(*map(F.lit, ("Linux-6.8-x86_64", "macOS-14-ARM64", "Windows-11-AMD64", "Plan9"))), (F.col("s_suppkey") % 4 + 1).cast("int"))).alias("host")),
+    "shared_keys": lambda s, d: shared_keys(load(s, d, "orders").select(F.map_filter(F.create_map(F.lit("status"), F.col("o_orderstatus"), F.lit("odd"), F.when(F.col("o_orderkey") % 2 == 1, "y"), F.lit("priority"), F.col("o_orderpriority")), lambda _, v: v.isNotNull()).alias("meta"))),
+    "text_digests": lambda s, d: load(s, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), F.char_length("text").alias("chars")),
+}
+
+HITS = lambda rule, pattern, f="true": f"SELECT id, path, '{rule}' AS rule, hit FROM (SELECT id, path, unnest(regexp_extract_all(value, '{pattern}')) AS hit FROM l) WHERE {f}"
+ORACLES = {
+    "clip_and_filter": f"SELECT doc_id AS id, md5(array_to_string(({WORDS})[1:300], ' ')) AS text_md5 FROM documents WHERE len({WORDS}) >= 50",
+    "word_range": f"SELECT doc_id AS id FROM documents WHERE len({WORDS}) BETWEEN 50 AND 500",
+    "wanted_cells": f"SELECT doc_id AS id, lang || '|' || source AS cell FROM documents WHERE {CELL_SQL}",
+    "stratified_sample": f"SELECT doc_id AS id, lang, source FROM documents QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY {KEY('doc_id')}, doc_id) <= 5",
+    "class_subsample": f"SELECT doc_id AS id, lang FROM documents QUALIFY count(*) OVER (PARTITION BY lang) >= 60 AND row_number() OVER (PARTITION BY lang ORDER BY {KEY('doc_id')}, doc_id) <= 60",
+    "window_subsample": f"WITH w AS (SELECT DISTINCT doc_id AS id, source FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 12) SELECT id, source FROM w QUALIFY row_number() OVER (PARTITION BY source ORDER BY {KEY('id')}, id) <= 4",
+    "prepared_slice": f"SELECT doc_id AS id, lang, source FROM documents WHERE ({CELL_SQL}) AND len({WORDS}) BETWEEN 50 AND 500 QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY {KEY('doc_id')}, doc_id) <= 6",
+    "mapped_rows": "SELECT doc_id AS id, CASE WHEN lang = 'en' THEN 'human' ELSE 'ai' END AS label, source AS domain, CASE WHEN doc_id % 3 = 0 THEN 'none' ELSE 'swap' END AS attack FROM documents",
+    "dedup_first": "SELECT md5(text) AS h, min(doc_id) AS id, arg_min(source, doc_id) AS source FROM documents GROUP BY 1",
+    "resume_todo": "SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
+    "rehydrated": "SELECT doc_id AS id, quality, lang, source FROM labels JOIN documents USING (doc_id)",
+    "redaction_hits": "WITH l AS (SELECT page_id AS id, '$.url' AS path, url AS value FROM pages UNION ALL SELECT doc_id, '$.text', text FROM documents) " + " UNION ALL ".join((HITS("url", rules.URL.replace("'", "''"), r"regexp_extract(hit, '^https?://([^/:?#]+)', 1) NOT IN ('arxiv.org')"), r"SELECT id, path, 'ipv4' AS rule, hit FROM (SELECT id, path, unnest(regexp_extract_all(value, '(?:^|[^0-9.])([0-9]{1,3}(?:\.[0-9]{1,3}){3})(?:$|[^0-9.])', 1)) AS hit FROM l)", r"SELECT id, path, 'path' AS rule, hit FROM (SELECT id, path, unnest(regexp_extract_all(value, '(?:^|[^A-Za-z0-9:/.~])(/(?:home|root|Users|tmp|var|opt|mnt)/[A-Za-z0-9._/-]+)', 1)) AS hit FROM l)")),
+    "flattened_documents": "SELECT event_id AS id, '$.event_type' AS path, event_type AS value FROM events UNION ALL SELECT event_id, '$.ids[0]', user_id::VARCHAR FROM events UNION ALL SELECT event_id, '$.ids[1]', event_id::VARCHAR FROM events",
+    "public_projection": "SELECT doc_id, lang, NULL::VARCHAR AS license FROM documents",
+    "host_projection": "SELECT s_suppkey, ['Linux x86_64', 'macOS arm64', 'Windows amd64', 'Plan9 unknown'][s_suppkey % 4 + 1] AS host FROM supplier",
+    "shared_keys": "SELECT unnest(['status', 'priority']) AS axis",
+    "text_digests": "SELECT doc_id, sha256(text) AS sha256, CAST(length(text) AS INTEGER) AS chars FROM documents",
+}

@@ -1,2 +1,84 @@
-QUERIES = {}
-ORACLES = {}
+"""Records, evidence, feasibility and streaming queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from plumbline.operators import curves, drift, rules
+from plumbline.plans.shared import shared_dir
+from plumbline.plans.tables import daily_series, load, scored
+from plumbline.queries.calibration import CURVE, LANG
+from plumbline.queries.monitoring import CU, DAILY, PH
+
+CONFIGS = [("small", "ram", None), ("medium", "gpu", None), ("large", "gpu", 24.0), ("served", "ram", None)]
+MEASURED = [("small", "ram", 8.0), ("medium", "gpu", 13.7), ("served", "gpu", 5.0)]
+ERRORS = [None, "ManifestNotFound: no manifest", "No module named c2pa", "broken pipe"]
+
+
+def _floors(s):
+    return rules.effective_floor(s.createDataFrame(CONFIGS, "name string, kind string, explicit_gb double"), s.createDataFrame(MEASURED, "name string, kind string, gb double"), 6.0)
+
+
+def _evidence(s, d):
+    p = load(s, d, "pages").select("page_id", F.element_at(F.array(*map(F.lit, ERRORS)), (F.col("page_id") % 4 + 1).cast("int")).alias("error"))
+    status = F.when(F.col("page_id") % 8 == 7, rules.carrier_negative(F.col("page_id") % 16 == 7)).otherwise(rules.reader_status(F.col("error")))
+    rows = p.select("page_id", status.alias("status"), F.lit("reader outcome").alias("explanation"), F.lit(True).alias("self_test"))
+    return rules.check_statuses(rows).select("page_id", "status")
+
+
+def _verdicts(s, d):
+    """Each even document against thresholds calibrated on the odd ones."""
+    both = scored(s, d)
+    t = curves.threshold_at_fpr(both.filter("doc_id % 2 = 1")).filter("refusal IS NULL")
+    return both.filter("doc_id % 2 = 0").select("doc_id", "score").crossJoin(F.broadcast(t)).select("doc_id", "target_fpr", (F.col("score") >= F.col("threshold")).alias("flagged"))
+
+
+def _stream(s, d):
+    """The monitors over observed days as a stream, written and read back."""
+    import uuid
+
+    from plumbline.streaming.monitors import run_once, stream_monitors
+
+    at = f"{shared_dir(s)}/plumbline/stream-{uuid.uuid4().hex}"
+    days = daily_series(s, d)
+    x = drift.oriented(days)
+    centre = x.filter("is_reference").groupBy("series").agg(F.avg("x").alias("centre"))
+    days.filter("NOT is_reference").select("series", "t", "value").write.parquet(f"{at}/in")
+    stream = s.readStream.schema("series string, t int, value double").parquet(f"{at}/in")
+    run_once(stream_monitors(stream, centre), f"{at}/out", f"{at}/checkpoint")
+    return s.read.parquet(f"{at}/out")
+
+
+def _index(s, d):
+    """Exports of one document for each event type, listed again."""
+    import uuid
+
+    from plumbline.sources.receipts import export_document, rebuild_index
+
+    root = f"{shared_dir(s)}/plumbline/export-{uuid.uuid4().hex}"
+    types = [r.event_type for r in load(s, d, "events").select("event_type").distinct().collect()]
+    for t in types:
+        export_document(s, root, t, {"id": t, "detector": "characters-per-word", "corpus": "events", "auroc": None, "version": "1", "generated_utc": "1970-01-01T00:00:00Z"})
+    return rebuild_index(s, root).select("id", "detector", "corpus")
+
+
+QUERIES = {
+    "memory_floor": lambda s, d: _floors(s),
+    "feasibility": lambda s, d: rules.feasibility(_floors(s), s.createDataFrame([(12.0, 7.0)], "gpu_gb double, ram_gb double")),
+    "evidence_statuses": _evidence,
+    "media_kinds": lambda s, d: load(s, d, "pages").select("page_id", rules.media_kind(F.regexp_replace("url", r"[?#].*$", "")).alias("kind")),
+    "document_verdicts": _verdicts,
+    "stream_monitors": _stream,
+    "receipt_index": _index,
+}
+VALUES = "c(name, kind, e) AS (VALUES ('small', 'ram', NULL::DOUBLE), ('medium', 'gpu', NULL), ('large', 'gpu', 24.0::DOUBLE), ('served', 'ram', NULL)), m(name, kind, gb) AS (VALUES ('small', 'ram', 8.0::DOUBLE), ('medium', 'gpu', 13.7::DOUBLE), ('served', 'gpu', 5.0::DOUBLE))"
+FLOORS = f"WITH {VALUES}, f AS (SELECT name, kind, coalesce(e, gb, 6.0::DOUBLE) AS floor_gb, CASE WHEN e IS NOT NULL THEN 'explicit' WHEN gb IS NOT NULL THEN 'measured' ELSE 'default' END AS basis FROM c LEFT JOIN m USING (name, kind))"
+ORACLES = {
+    "memory_floor": f"{FLOORS} SELECT * FROM f",
+    "feasibility": f"{FLOORS} SELECT name, kind, floor_gb, a AS available_gb, a >= floor_gb AS fits, CASE WHEN a < floor_gb THEN 'needs ' || printf('%.1f', floor_gb) || ' GB of ' || kind || ' memory' END AS refusal FROM (SELECT *, CASE WHEN kind = 'gpu' THEN 12.0::DOUBLE ELSE 7.0::DOUBLE END AS a FROM f)",
+    "evidence_statuses": "SELECT page_id, CASE WHEN page_id % 16 = 7 THEN 'ABSENT' WHEN page_id % 8 = 7 THEN 'INCONCLUSIVE' ELSE ['PRESENT', 'ABSENT', 'UNAVAILABLE', 'INCONCLUSIVE'][page_id % 4 + 1] END AS status FROM pages",
+    "media_kinds": r"SELECT page_id, CASE WHEN s IN ('.html', '.txt', '.md') THEN 'text' WHEN s IN ('.png', '.jpg', '.jpeg', '.webp') THEN 'image' WHEN s IN ('.mp4', '.mov') THEN 'video' WHEN s IN ('.wav', '.mp3') THEN 'audio' ELSE 'other' END AS kind FROM (SELECT page_id, lower(regexp_extract(regexp_replace(url, '[?#].*$', ''), '(\.[^./]+)$', 1)) AS s FROM pages)",
+}
+ORACLES["document_verdicts"] = f"WITH {LANG.replace('SELECT * FROM scored)', 'SELECT * FROM scored WHERE doc_id % 2 = 1)')}{CURVE}, t AS (SELECT a.target_fpr, min(threshold) AS threshold FROM (SELECT unnest([0.01::DOUBLE, 0.05::DOUBLE]) AS target_fpr) a JOIN curve ON fpr <= target_fpr GROUP BY ALL) SELECT doc_id, target_fpr, score >= threshold AS flagged FROM scored, t WHERE doc_id % 2 = 0"
+ORACLES["stream_monitors"] = f"WITH {DAILY}, {PH}, {CU} SELECT series, t, ph.statistic AS page_hinkley, ph.statistic > 0.05::DOUBLE AS ph_alarm, cu.statistic AS cusum, cu.statistic > 0.05::DOUBLE AS cusum_alarm, false AS out_of_order FROM ph JOIN cu USING (series, t)"
+ORACLES["receipt_index"] = "SELECT DISTINCT event_type AS id, 'characters-per-word' AS detector, 'events' AS corpus FROM events"
