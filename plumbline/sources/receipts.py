@@ -22,7 +22,7 @@ def read_text(spark: SparkSession, path: str) -> str | None:
     at, fs = _fs(spark, path)
     if not fs.exists(at):
         return None
-    return spark.read.option("wholetext", True).text(path).first().value
+    return spark.read.text(path, wholetext=True).first().value
 
 
 def put_text(spark: SparkSession, path: str, text: str) -> None:

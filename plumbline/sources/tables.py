@@ -32,7 +32,7 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     """(stem, line, value) of a JSON-lines file, numbered from 0 by physical line.
 
     One split in file order: numbering needs it. Files are the size of a corpus description."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.[^.]*)?$", 1).alias("stem"), "value")
+    raw = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.[^.]*)?$", 1).alias("stem"), "value")
     return raw.select("stem", F.posexplode(F.split("value", "\r?\n")).alias("line", "value")).filter(F.trim("value") != "")
 
 
