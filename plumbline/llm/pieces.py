@@ -166,7 +166,8 @@ class PieceCoder:
         ids = [e.ids for e in self.bare.encode_batch_fast(new, add_special_tokens=False)]
         if self.native is not None:
             cut = int(self.spec.prefix)
-            asked = [w[cut:].replace(MARK, " ") if w.startswith(MARK) or not cut else None for w in new]
+            # A marker alone can't be asked for: the library puts no marker before an empty text.
+            asked = [w[cut:].replace(MARK, " ") if (w.startswith(MARK) and w[cut:]) or not cut else None for w in new]
             told = iter(self.native.encode([a for a in asked if a is not None], num_threads=self.threads))
             for k, a in enumerate(asked):
                 if a is not None and (truth := next(told)) != ids[k]:
