@@ -13,6 +13,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from plumbline.plans.prefix import running_totals
+
 N_BOOT, SEED, LEVEL = 1000, 17, 0.95
 #: Rows a T1 group may have: its index matrix is N_BOOT times as many numbers.
 EXACT_ROWS = 50_000
@@ -86,24 +88,63 @@ def weighted(rows: DataFrame, key: str, n_boot: int, seed: int = SEED) -> DataFr
     return every.withColumn("weight", poisson_weight(uniform(F.col(key), F.col("replicate"), seed))).filter("weight > 0")
 
 
-def poisson_rate_ci(rows: DataFrame, flag: str, key: str, n_boot: int = 50, seed: int = SEED, level: float = LEVEL) -> DataFrame:
-    """(n_boot, rate, lo, hi), T3: a proportion's interval from hashed weights."""
-    w = weighted(rows.select(key, flag), key, n_boot, seed).groupBy("replicate").agg(F.sum("weight").alias("n"), F.sum(F.when(F.col(flag), F.col("weight")).otherwise(0)).alias("k"))
-    ends = w.agg(F.count("*").alias("n_boot"), F.percentile(F.col("k").cast("double") / F.col("n"), F.array(*(F.lit(e) for e in _ends(level)))).alias("e"))
-    point = rows.agg(F.avg(F.col(flag).cast("double")).alias("rate"))
-    return ends.crossJoin(point).select("n_boot", "rate", F.col("e")[0].alias("lo"), F.col("e")[1].alias("hi"))
+def _interval(replicates: DataFrame, value: str, by: list[str], level: float) -> DataFrame:
+    """(by..., n_boot, lo, hi) of one value for each replicate."""
+    ends = replicates.groupBy(*by).agg(F.count(value).alias("n_boot"), F.percentile(value, F.array(*(F.lit(e) for e in _ends(level)))).alias("e"))
+    return ends.select(*by, "n_boot", F.col("e")[0].alias("lo"), F.col("e")[1].alias("hi"))
+
+
+def poisson_rate_ci(rows: DataFrame, flag: str, key: str, n_boot: int = 50, seed: int = SEED, level: float = LEVEL, by: list[str] | None = None) -> DataFrame:
+    """(by..., n_boot, rate, lo, hi), T3: a proportion's interval from hashed weights."""
+    by = by or []
+    w = weighted(rows.select(*by, key, flag), key, n_boot, seed).groupBy(*by, "replicate").agg(F.sum("weight").alias("n"), F.sum(F.when(F.col(flag), F.col("weight")).otherwise(0)).alias("k"))
+    ends = _interval(w.withColumn("r", F.col("k").cast("double") / F.col("n")), "r", by, level)
+    point = rows.groupBy(*by).agg(F.avg(F.col(flag).cast("double")).alias("rate"))
+    joined = ends.join(point, by) if by else ends.crossJoin(point)
+    return joined.select(*by, "n_boot", "rate", "lo", "hi")
+
+
+def _both_weighted(ones: DataFrame, zeros: DataFrame, key: str, n_boot: int, seed: int) -> DataFrame:
+    """(replicate, score, one, zero): weights of two populations at each score."""
+    rows = ones.select(key, "score", F.lit(1).alias("p")).unionByName(zeros.select(key, "score", F.lit(0).alias("p")))
+    part = lambda p: F.sum(F.when(F.col("p") == p, F.col("weight")).otherwise(0))
+    return weighted(rows, key, n_boot, seed).groupBy("replicate", "score").agg(part(1).alias("one"), part(0).alias("zero"))
 
 
 def poisson_auroc_ci(rows: DataFrame, key: str, n_boot: int = 50, seed: int = SEED, level: float = LEVEL) -> DataFrame:
     """(n_boot, lo, hi), T3: AUROC per replicate from weighted counts at each distinct score."""
-    from pyspark.sql import Window
-
-    w = weighted(rows.select(key, "score", "y"), key, n_boot, seed).groupBy("replicate", "score").agg(
-        F.sum(F.when(F.col("y") == 0, F.col("weight")).otherwise(0)).alias("neg"), F.sum(F.when(F.col("y") == 1, F.col("weight")).otherwise(0)).alias("pos")
-    )
-    upto = F.sum("neg").over(Window.partitionBy("replicate").orderBy("score").rowsBetween(Window.unboundedPreceding, 0))
-    s = w.withColumn("upto", upto).groupBy("replicate").agg(
-        (F.sum(F.col("pos") * (F.col("upto") - F.col("neg") / 2)) / (F.sum("neg").cast("double") * F.sum("pos").cast("double"))).alias("auroc")
+    w = _both_weighted(rows.filter("y = 1"), rows.filter("y = 0"), key, n_boot, seed)
+    up = running_totals(w, "score", ["zero"], within=["replicate"])
+    s = up.groupBy("replicate").agg(
+        (F.sum(F.col("one") * (F.col("zero_upto") - F.col("zero") / 2)) / (F.sum("zero").cast("double") * F.sum("one").cast("double"))).alias("auroc")
     )
-    ends = s.agg(F.count("*").alias("n_boot"), F.percentile("auroc", F.array(*(F.lit(e) for e in _ends(level)))).alias("e"))
-    return ends.select("n_boot", F.col("e")[0].alias("lo"), F.col("e")[1].alias("hi"))
+    return _interval(s, "auroc", [], level)
+
+
+def poisson_ks_ci(reference: DataFrame, candidate: DataFrame, key: str, n_boot: int = 50, seed: int = SEED, level: float = LEVEL) -> DataFrame:
+    """(n_boot, lo, hi), T3: the largest gap of both distribution functions in each replicate."""
+    w = _both_weighted(reference, candidate, key, n_boot, seed)
+    up = running_totals(w, "score", ["one", "zero"], within=["replicate"])
+    whole = w.groupBy("replicate").agg(F.sum("one").cast("double").alias("n1"), F.sum("zero").cast("double").alias("n0"))
+    gap = F.abs(F.try_divide("one_upto", "n1") - F.try_divide("zero_upto", "n0"))
+    return _interval(up.join(F.broadcast(whole), "replicate").groupBy("replicate").agg(F.max(gap).alias("ks")), "ks", [], level)
+
+
+def poisson_shift_ci(reference: DataFrame, candidate: DataFrame, key: str, qs, n_boot: int = 50, seed: int = SEED, level: float = LEVEL) -> DataFrame:
+    """(q, n_boot, lo, hi), T3: candidate quantile less reference quantile in each replicate, linear
+    between order statistics of the weighted rows."""
+    w = _both_weighted(reference, candidate, key, n_boot, seed)
+    at = F.array(*(F.lit(float(q)) for q in qs))
+    # Spark counts a frequency of zero as absence, so each side's quantiles see its own rows only.
+    s = w.groupBy("replicate").agg(F.percentile("score", at, F.col("one")).alias("r"), F.percentile("score", at, F.col("zero")).alias("c"))
+    z = s.select("replicate", F.explode(F.arrays_zip(at.alias("q"), "r", "c")).alias("z")).select("replicate", F.col("z.q").alias("q"), (F.col("z.c") - F.col("z.r")).alias("delta"))
+    return _interval(z, "delta", ["q"], level)
+
+
+def poisson_ece_ci(rows: DataFrame, key: str, by: list[str], bins: int = 10, n_boot: int = 50, seed: int = SEED, level: float = LEVEL) -> DataFrame:
+    """(by..., n_boot, lo, hi), T3: calibration error of (confidence, correct), pairs resampled."""
+    b = F.least(F.floor(F.col("confidence") * bins).cast("int"), F.lit(bins - 1))
+    w = weighted(rows.select(*by, key, "confidence", "correct", b.alias("bin")), key, n_boot, seed)
+    # A bin's share times its gap is the absolute difference of its weighted sums over all weight.
+    cell = w.groupBy(*by, "replicate", "bin").agg(F.sum("weight").alias("n"), F.abs(F.sum(F.col("weight") * F.col("confidence")) - F.sum(F.col("weight") * F.col("correct").cast("double"))).alias("d"))
+    return _interval(cell.groupBy(*by, "replicate").agg((F.sum("d") / F.sum("n")).alias("ece")), "ece", by, level)

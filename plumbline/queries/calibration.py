@@ -89,12 +89,21 @@ P_SQL = "least(1.0::DOUBLE, 2 * least((1 + ge) / (nr + 1)::DOUBLE, (1 + le) / (n
 WEIGHT = "(" + " + ".join(f"CASE WHEN u >= {p!r}::DOUBLE THEN 1 ELSE 0 END" for p in resample._POISSON) + ")"
 UNIFORM = "CAST(CAST('0x' || substr(md5(doc_id || ':' || b || ':17'), 1, 13) AS UBIGINT) AS DOUBLE) / 4503599627370496::DOUBLE"
 
+ENDS = lambda v: f"count(*) AS n_boot, quantile_cont({v}, 0.025::DOUBLE) AS lo, quantile_cont({v}, 0.975::DOUBLE) AS hi"
+
 
 def _rates(spark, d):
     s = scored(spark, d)
     return strata.subgroup_rates(s, axes(), curves.threshold_at_fpr(s, (0.05,)).select("threshold"))
 
 
+def _outside(spark, d):
+    """(doc_id, alpha, flag): whether a candidate is outside each band that the reference supports."""
+    r, c = populations(spark, d)
+    band = bounds.conformal_band(r).filter("refusal IS NULL")
+    return c.select("doc_id", "score").crossJoin(F.broadcast(band)).select("doc_id", "alpha", ((F.col("score") > F.col("hi")) | (F.col("score") < F.col("lo"))).alias("flag"))
+
+
 def _report(spark, d):
     """All calibration sections as tidy rows (section, key, value)."""
     s = scored(spark, d)
@@ -139,6 +148,10 @@ QUERIES = {
     "rate_ci": lambda s, d: resample.proportion_ci(scored(s, d).select("lang", (F.col("score") >= 6.0).alias("flag")), "flag", ["lang"]),
     "rate_ci_md5": lambda s, d: resample.poisson_rate_ci(scored(s, d).select("doc_id", (F.col("score") >= 6.0).alias("flag")), "flag", "doc_id"),
     "auroc_ci_md5": lambda s, d: resample.poisson_auroc_ci(scored(s, d), "doc_id", n_boot=20),
+    "ks_ci_md5": lambda s, d: resample.poisson_ks_ci(*populations(s, d), "doc_id", n_boot=20),
+    "quantile_shift_ci_md5": lambda s, d: resample.poisson_shift_ci(*populations(s, d), "doc_id", shift.QUANTILES, n_boot=20),
+    "novelty_ci_md5": lambda s, d: resample.poisson_rate_ci(_outside(s, d), "flag", "doc_id", n_boot=20, by=["alpha"]),
+    "subgroup_ci_md5": lambda s, d: resample.poisson_rate_ci(strata.long_axes(scored(s, d).filter("y = 0").withColumn("flag", F.col("score") >= 6.0), {k: v for k, v in axes().items() if k != "lang"}), "flag", "doc_id", n_boot=20, by=["axis", "value"]),
 }
 
 ORACLES = {
@@ -183,4 +196,17 @@ ORACLES = {
       f AS (SELECT b, score, sum(w) FILTER (y = 0) AS neg0, sum(w) FILTER (y = 1) AS pos0 FROM w WHERE w > 0 GROUP BY ALL), g AS (SELECT b, score, coalesce(neg0, 0)::BIGINT AS neg, coalesce(pos0, 0)::BIGINT AS pos FROM f),
       a AS (SELECT b, sum(pos * (up - neg / 2::DOUBLE)) / (sum(neg)::DOUBLE * sum(pos)) AS a FROM (SELECT *, (sum(neg) OVER (PARTITION BY b ORDER BY score ROWS UNBOUNDED PRECEDING))::BIGINT AS up FROM g) GROUP BY b)
       SELECT count(*) AS n_boot, quantile_cont(a, 0.025::DOUBLE) AS lo, quantile_cont(a, 0.975::DOUBLE) AS hi FROM a""",
+    "ks_ci_md5": f"""WITH {PAIR}, w AS (SELECT b, p, score, {WEIGHT} AS w FROM (SELECT *, {UNIFORM} AS u FROM (SELECT doc_id, score, 1 AS p FROM r UNION ALL SELECT doc_id, score, 0 FROM c), range(20) t(b))),
+      f AS (SELECT b, score, coalesce(sum(w) FILTER (p = 1), 0)::BIGINT AS one, coalesce(sum(w) FILTER (p = 0), 0)::BIGINT AS zero FROM w WHERE w > 0 GROUP BY ALL),
+      g AS (SELECT b, sum(one) OVER o / (sum(one) OVER (PARTITION BY b))::DOUBLE AS x, sum(zero) OVER o / (sum(zero) OVER (PARTITION BY b))::DOUBLE AS y FROM f WINDOW o AS (PARTITION BY b ORDER BY score ROWS UNBOUNDED PRECEDING)),
+      k AS (SELECT b, max(abs(x - y)) AS k FROM g GROUP BY b) SELECT {ENDS("k")} FROM k""",
+    "quantile_shift_ci_md5": f"""WITH {PAIR}, w AS (SELECT b, p, score, unnest(range({WEIGHT})) FROM (SELECT *, {UNIFORM} AS u FROM (SELECT doc_id, score, 1 AS p FROM r UNION ALL SELECT doc_id, score, 0 FROM c), range(20) t(b))),
+      k AS (SELECT b, unnest([0.1::DOUBLE, 0.5::DOUBLE, 0.9::DOUBLE]) AS q, unnest(quantile_cont(score, [0.1, 0.5, 0.9]) FILTER (p = 0)) - unnest(quantile_cont(score, [0.1, 0.5, 0.9]) FILTER (p = 1)) AS k FROM w GROUP BY b)
+      SELECT q, {ENDS("k")} FROM k GROUP BY q""",
+    "novelty_ci_md5": f"""WITH {PAIR}, {BAND}, o AS (SELECT doc_id, alpha, score > hi OR score < lo AS flag FROM c, band WHERE refusal IS NULL),
+      w AS (SELECT alpha, b, flag, {WEIGHT} AS w FROM (SELECT *, {UNIFORM} AS u FROM o, range(20) t(b))), k AS (SELECT alpha, b, sum(w * flag::INTEGER)::DOUBLE / sum(w) AS k FROM w GROUP BY ALL)
+      SELECT alpha, rate, n_boot, lo, hi FROM (SELECT alpha, {ENDS("k")} FROM k GROUP BY alpha) JOIN (SELECT alpha, avg(flag::INTEGER) AS rate FROM o GROUP BY alpha) USING (alpha)""",
+    "subgroup_ci_md5": f"""WITH {LANG}, l AS (SELECT doc_id, 'length' AS axis, {BUCKET} AS value, score >= 6.0::DOUBLE AS flag FROM s WHERE y = 0 UNION ALL SELECT doc_id, 'source', source, score >= 6.0::DOUBLE FROM s WHERE y = 0),
+      w AS (SELECT axis, value, b, flag, {WEIGHT} AS w FROM (SELECT *, {UNIFORM} AS u FROM l, range(20) t(b))), k AS (SELECT axis, value, b, sum(w * flag::INTEGER)::DOUBLE / sum(w) AS k FROM w WHERE w > 0 GROUP BY ALL)
+      SELECT axis, value, rate, n_boot, lo, hi FROM (SELECT axis, value, {ENDS("k")} FROM k GROUP BY ALL) JOIN (SELECT axis, value, avg(flag::INTEGER) AS rate FROM l GROUP BY ALL) USING (axis, value)""",
 }

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import SPACE, normalize_any
-from plumbline.operators import detectors, drift, probes, series
+from plumbline.operators import detectors, drift, probes, resample, series
 from plumbline.plans.tables import answers, daily_series, load
+from plumbline.queries.calibration import ENDS, UNIFORM, WEIGHT
 
 CUTOFF = "2024-01-10"
 DAILY = """d AS (SELECT event_type AS series, CAST(date_diff('day', (SELECT min(ts)::DATE FROM events), ts::DATE) AS INTEGER) AS t, avg(value) AS value FROM events GROUP BY ALL),
@@ -87,6 +88,7 @@ QUERIES = {
     "post_cutoff_share": lambda s, d: probes.post_cutoff_share(probe_set(s, d), CUTOFF),
     "ece_bins": lambda s, d: probes.ece_bins(_confidence(s, d), ["vintage"]),
     "probability_block": lambda s, d: probes.probability_block(_confidence(s, d), ["vintage"]),
+    "ece_ci_md5": lambda s, d: resample.poisson_ece_ci(_confidence(s, d), "vec_id", ["vintage"], n_boot=20),
     "probe_lint": lambda s, d: probes.lint(probe_set(s, d), CUTOFF),
     "vintage_hashes": lambda s, d: probes.vintage_hashes(answers(s, d), "vintage", ["conv_id", "turn", "answer"]),
     "vintage_freeze_violations": lambda s, d: probes.freeze_violations(probes.vintage_hashes(answers(s, d), "vintage", ["conv_id", "turn", "answer"]), probes.vintage_hashes(answers(s, d).filter("conv_id <> 1"), "vintage", ["conv_id", "turn", "answer"])),
@@ -119,6 +121,9 @@ ORACLES = {
     "ece_bins": f"WITH {CONF}, {BINS} SELECT vintage, bin, coalesce(n, 0) AS n, mean_confidence, accuracy FROM (SELECT DISTINCT vintage FROM c) CROSS JOIN (SELECT unnest(range(10))::INTEGER AS bin) LEFT JOIN b USING (vintage, bin)",
     "probability_block": f"""WITH {CONF}, {BINS}, h AS (SELECT vintage, count(*) AS n, avg((confidence - correct::INTEGER) ** 2) AS brier, avg(confidence) - avg(correct::INTEGER) AS gap, avg(confidence) AS mean_confidence FROM c GROUP BY vintage)
       SELECT vintage, h.n, 0::BIGINT AS n_invalid, (SELECT sum(b.n * abs(accuracy - b.mean_confidence)) / sum(b.n) FROM b WHERE b.vintage = h.vintage) AS ece, brier, gap, h.mean_confidence FROM h""",
+    "ece_ci_md5": f"""WITH {CONF}, w AS (SELECT vintage, b, least(floor(confidence * 10)::INTEGER, 9) AS bin, confidence, correct, {WEIGHT} AS w FROM (SELECT *, {UNIFORM.replace("doc_id", "vec_id")} AS u FROM c, range(20) t(b))),
+      cell AS (SELECT vintage, b, bin, sum(w) AS n, abs(sum(w * confidence) - sum(w * correct::INTEGER)) AS d FROM w WHERE w > 0 GROUP BY ALL), k AS (SELECT vintage, b, sum(d) / sum(n) AS k FROM cell GROUP BY ALL)
+      SELECT vintage, {ENDS("k")} FROM k GROUP BY vintage""",
     "probe_lint": f"""WITH {ANSWERS}, {PROBES}, r AS (
       SELECT 'error' AS severity, id AS probe_id, 'authored missing' AS rule FROM p WHERE authored IS NULL UNION ALL SELECT 'error', id, 'authored before its source' FROM p WHERE authored < source_date
       UNION ALL SELECT 'error', id, 'source not after the cutoff' FROM p WHERE source_date <= DATE '{CUTOFF}' UNION ALL SELECT 'error', id, 'answer normalises to nothing' FROM p WHERE {norm('answer')} = ''
