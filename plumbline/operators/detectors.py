@@ -10,6 +10,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from plumbline.functions.text import word_count
+
 
 class Detector:
     """A named scorer of texts; higher means more of the positive class.
@@ -40,6 +42,21 @@ class Detector:
         return rows.withColumn(out, run(F.col(text)))
 
 
+class ColumnScorer:
+    """A scorer that is a column expression of the text: no Python on the executors."""
+
+    def __init__(self, name: str, expression: Callable[[Column], Column], metadata: dict | None = None):
+        self.name, self.expression, self.metadata = name, expression, dict(metadata or {})
+
+    def score(self, rows: DataFrame, text: str = "text", out: str = "score") -> DataFrame:
+        return rows.withColumn(out, self.expression(F.col(text)))
+
+
+def characters_per_word() -> ColumnScorer:
+    """Characters of the text over its words; null without words."""
+    return ColumnScorer("characters-per-word", lambda t: F.try_divide(F.char_length(t).cast("double"), word_count(t).cast("double")))
+
+
 def fast_discrepancy() -> Detector:
     return Detector("token-discrepancy", lambda: None, needs=("torch", "transformers"))
 
@@ -48,6 +65,10 @@ def cross_perplexity() -> Detector:
     return Detector("perplexity-ratio", lambda: None, needs=("torch", "transformers"))
 
 
+#: Scorers by name.
+SCORERS = {"characters-per-word": characters_per_word, "token-discrepancy": fast_discrepancy, "perplexity-ratio": cross_perplexity}
+
+
 def vector_logits(vectors: DataFrame, steps: int = 8, kinds: int = 8) -> DataFrame:
     """(id, logits array<array<double>>, other array<array<double>>, tokens array<int>): each vector
     read as ``steps`` rows of ``kinds`` logits; the other model's rows are the same in reverse."""

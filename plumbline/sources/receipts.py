@@ -25,6 +25,11 @@ def read_text(spark: SparkSession, path: str) -> str | None:
     return spark.read.text(path, wholetext=True).first().value
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    at, fs = _fs(spark, path)
+    return fs.exists(at)
+
+
 def put_text(spark: SparkSession, path: str, text: str) -> None:
     """Write a small text file at once: to a neighbour, then renamed."""
     at, fs = _fs(spark, path)

@@ -203,6 +203,49 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["analyze", put(tmp_path / "x.csv", "score", "1"), f"file://{tmp_path}/o2"]) == 2 and "refused" in capsys.readouterr().err
 
 
+def test_command_line_from_corpus_to_index(spark, tmp_path, capsys):
+    from plumbline.cli import main
+
+    rows = [json.dumps({"id": f"d{k}", "text": "word " * (20 + k) if k % 2 else "longer words " * (20 + k), "label": "ai" if k % 2 else "human", "meta": {"part": "x" if k % 3 else "y"}}) for k in range(120)]
+    corpus, out = put(tmp_path / "c.jsonl", *rows), f"file://{tmp_path}/rep"
+    assert main(["run", corpus, out]) == 0 and main(["run", corpus, out]) == 0
+    assert spark.read.parquet(f"{out}/partial").count() == 120
+    assert {r.axis for r in spark.read.json(f"{out}/subgroups").collect()} == {"length", "part"} and (tmp_path / "rep/auroc_ci").exists()
+    assert main(["run", corpus, out, "--scorer", "token-discrepancy"]) == 2 and main(["run", corpus, out, "--scorer", "none"]) == 2
+    assert main(["score", out, "some words here"]) == 0
+    assert main(["export", out, f"file://{tmp_path}/pub", "one"]) == 0 and main(["index", f"file://{tmp_path}/pub"]) == 0
+    assert "characters-per-word" in capsys.readouterr().out
+    assert main(["export", out, f"file://{tmp_path}/pub", "http://elsewhere.example/x"]) == 2
+    assert main(["corpora", str(tmp_path)]) == 0 and main(["providers"]) == 0 and "ready" in capsys.readouterr().out
+
+
+def test_command_line_slice_and_series(spark, tmp_path, capsys):
+    from plumbline.cli import main
+
+    table = put(tmp_path / "b.csv", "id,model,domain,attack,generation", *(f'{k},{"human" if k % 2 else "m1"},news,{"none" if k % 4 else ""},{"w " * (60 if k % 5 else 3)}' for k in range(80)))
+    assert main(["prepare", table, f"file://{tmp_path}/slice", "--models", "human,m1", "--domains", "news", "--per-cell", "7"]) == 0
+    got = spark.read.json(f"file://{tmp_path}/slice").collect()
+    assert len(got) == 14 and {r.label for r in got} == {"human", "ai"}
+    assert main(["prepare", put(tmp_path / "bad.csv", "id", "1"), f"file://{tmp_path}/s2"]) == 2
+    probes = put(tmp_path / "p.jsonl", *(json.dumps({"id": f"p{k}", "prompt": f"q{k}", "answer": "sun", "vintage": "t0", "source": "s", "source_date": "2024-02-01"}) for k in range(4)))
+    answers, reg = put(tmp_path / "a.csv", "id,response", "p0,Sun", "p1,the sun", "p2,moon", "p3,sun."), f"file://{tmp_path}/reg"
+    for n in ("1", "2", "3"):
+        assert main(["probe-run", probes, answers, "--registry", reg, "--run-number", n, "--replicate", "no" if n == "3" else "yes"]) == 0
+    key = spark.read.parquet(f"{reg}/runs").first().series_id
+    assert main(["series-list", reg]) == 0 and main(["series-show", reg, key]) == 0 and main(["series-watch", reg, "--id", key]) == 0
+    assert "within" in capsys.readouterr().out
+    assert main(["plan", put(tmp_path / "k.csv", "name,kind,explicit_gb", "small,ram,0.5", "large,gpu,24")]) == 0 and "needs 24.0 GB" in capsys.readouterr().out
+    assert main(["verify", str(tmp_path / "p.jsonl")]) == 0
+
+
+def test_public_names():
+    import plumbline
+
+    assert all(getattr(plumbline, n) is not None for n in plumbline.__all__) and set(plumbline.__all__) <= set(dir(plumbline))
+    with pytest.raises(AttributeError):
+        plumbline.nothing
+
+
 def test_sampling_is_order_free(spark, sf):
     from plumbline.operators.sampling import first_of_each
 
