@@ -12,6 +12,8 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +23,8 @@ from plumbline.llm.common import short_batches
 
 KINDS = ("email", "ip", "card", "phone")
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+#: No leftmost match begins within a run of digits, so long runs are tried once.
+_IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -94,36 +97,59 @@ _LOOKS = {
     "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X", "І": "I", "Ј": "J", "Ѕ": "S", "У": "Y",
     "α": "a", "ο": "o", "ν": "v", "ι": "i", "κ": "k", "ρ": "p", "υ": "u", "χ": "x", "γ": "y", "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I",
     "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "ı": "i", "ɑ": "a", "ɡ": "g", "ſ": "s",
-    "。": ".", "․": ".", "｡": ".", "‐": "-", "‑": "-", "‒": "-", "–": "-", "—": "-", "−": "-", "﹣": "-",
+    "。": ".", "․": ".", "｡": ".", "‐": "-", "‑": "-", "‒": "-", "–": "-", "−": "-", "﹣": "-",
     " ": " ", " ": " ", " ": " ", " ": " ",
 }
 _ZERO_WIDTH = "​‌‍⁠﻿­"
-_NUMBER = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
+#: Spelled digits in the four languages of the corpus.
+_NUMBER = {
+    word: str(digit)
+    for digit, words in enumerate(
+        ("zero oh null zéro cero", "one eins un uno", "two zwei deux dos", "three drei trois tres", "four vier quatre cuatro", "five fünf cinq cinco", "six sechs seis", "seven sieben sept siete", "eight acht huit ocho", "nine neun neuf nueve")
+    )
+    for word in words.split()
+}
 #: Ranges whose compatibility form is an ASCII letter, digit or sign: full width, enclosed and
 #: mathematical letters, superscript and subscript digits, other scripts' digits.
 _ODD = re.compile(
     "[" + "".join(map(re.escape, _LOOKS)) + _ZERO_WIDTH
     + "！-～①-⑳Ⓐ-ⓩ⁰-₉²³¹٠-٩۰-۹०-९﹒﹫\U0001d400-\U0001d7ff]"
 )
-_WORDS = "|".join(_NUMBER)
-_SPELLED = re.compile(rf"(?<![A-Za-z])(?:{_WORDS})(?:[ ,.()\-]+(?:{_WORDS}|[0-9])|[0-9]){{3,}}(?![A-Za-z])", re.I)
-_ONE_WORD = re.compile(rf"{_WORDS}|[0-9]", re.I)
-_AT = r"(?:\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*|\s+at\s+|\s+@\s*|\s*@\s+)"
-_DOT = r"(?:\s*[\[({<]\s*(?:dot|punkt|point|punto|\.)\s*[\])}>]\s*|\s+dot\s+)"
+_WORDS = "|".join(sorted(_NUMBER, key=len, reverse=True))
+_AT_WORD, _DOT_WORD = "at|arroba|arobase", "dot|punkt|point|punto"
+_GAP = rf"(?:[ ,.()\-]+|\s+(?:{_DOT_WORD})\s+)"
+#: At least four digits, one of them spelled, a spoken "plus" before them counting as the sign.
+_SPELLED = re.compile(rf"(?<![A-Za-zÀ-ÿ])(?:plus\s+(?={_WORDS}|[0-9]))?(?:{_WORDS}|[0-9])(?:{_GAP}?[0-9]|{_GAP}(?:{_WORDS})(?![A-Za-zÀ-ÿ])){{3,}}(?![A-Za-zÀ-ÿ])", re.I)
+_ONE_WORD = re.compile(rf"(?<![A-Za-zÀ-ÿ])(plus\s+)?({_WORDS})?(?(2)([ ,\-]+(?=(?:{_WORDS})(?![A-Za-zÀ-ÿ])))?)", re.I)
+_AT = rf"(?:\s*[\[({{<]\s*(?:{_AT_WORD}|@)\s*[\])}}>]\s*|\s+(?:{_AT_WORD})\s+|\s+@\s*|\s*@\s+)"
+_DOT = rf"(?:\s*[\[({{<]\s*(?:{_DOT_WORD}|\.)\s*[\])}}>]\s*|\s+(?:{_DOT_WORD})\s+)"
 _PART = r"[A-Za-z0-9-]+"
-_LOCALS = r"[A-Za-z0-9_%+-]+(?:(?:\.|" + _DOT + r")[A-Za-z0-9_%+-]+)*"
-#: A disguised address: its "at" is bracketed or spaced, and a spoken "at" needs a disguised dot
-#: after it, since "at" followed by a sentence's full stop is prose.
+_LOCALS = r"[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*"
+#: Spoken dots are counted, so that a long chain of them is no quadratic search: at most four in a
+#: local part, six in a host.
+_LOCALS = rf"{_LOCALS}(?:{_DOT}{_LOCALS}){{0,4}}"
+_HOST = rf"{_PART}(?:\.{_PART})*(?:{_DOT}{_PART}(?:\.{_PART})*){{1,6}}"
+_BEFORE = r"(?<![A-Za-z0-9._%+-])"
+#: A disguised address. Its "at" is bracketed or spaced. A spoken "at" needs a disguised dot after
+#: it, or a local part that no word has, since "at" followed by a full stop or a site's name is prose.
 _DISGUISED = re.compile(
-    rf"(?<![A-Za-z0-9._%+-])(?P<local>{_LOCALS})(?:"
-    rf"(?P<at>{_AT})(?P<host>{_PART}(?:\.{_PART})*(?:{_DOT}{_PART})+(?:\.{_PART})*)"
-    rf"|(?P<at2>\s*[\[({{<]\s*(?:at|@)\s*[\])}}>]\s*)(?P<host2>{_PART}(?:\.{_PART})+)"
-    rf"|(?P<at3>@)(?P<host3>{_PART}(?:\.{_PART})*(?:{_DOT}{_PART})+(?:\.{_PART})*))",
+    rf"{_BEFORE}(?P<local>{_LOCALS})(?:"
+    rf"(?P<at>{_AT})(?P<host>{_HOST})"
+    rf"|(?P<at2>\s*[\[({{<]\s*(?:{_AT_WORD}|@)\s*[\])}}>]\s*)(?P<host2>{_PART}(?:\.{_PART})+)"
+    rf"|(?P<at3>@)(?P<host3>{_HOST})"
+    rf"|(?<=[A-Za-z0-9])(?P<at4>%40|&#0*64;|&#x0*40;|&commat;)(?P<host4>{_PART}(?:\.{_PART})+))",
     re.I,
 )
+_PLAIN_HOST = re.compile(rf"{_BEFORE}(?P<local>(?=[A-Za-z]+[._+0-9])[A-Za-z0-9._%+-]*[A-Za-z0-9])(?P<at>\s+(?:{_AT_WORD})\s+)(?P<host>[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.(?-i:[a-z]{{2,}}))", re.I)
 _DOTS = re.compile(_DOT, re.I)
-_AT_HINT = re.compile(r"[\[({<]\s*(?:at|@|dot|punkt|point|punto|\.)\s*[\])}>]|\sdot\s", re.I)
+#: An address whose signs are words between underscores or hyphens.
+_JOINED = re.compile(r"(?<![A-Za-z0-9.+])[A-Za-z0-9.+]+(?:([_-])dot\1[A-Za-z0-9.+]+){0,4}([_-])at\2[A-Za-z0-9]+(?:([_-])dot\3[A-Za-z0-9]+){1,6}", re.I)
+_JOINT = re.compile(r"([_-])(?:(at)|dot)\1", re.I)
+_AT_HINT = re.compile(rf"[\[({{<]\s*(?:{_AT_WORD}|@|{_DOT_WORD}|\.)\s*[\])}}>]|\s(?:{_DOT_WORD})\s|[_-](?:at|dot)[_-]|(?:[0-9]|[._+][a-z0-9]+)\s+(?:{_AT_WORD})\s")
 _IP_DISGUISED = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:(?:{_DOT}|\.)[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
+#: Letters that stand for digits, in tokens of digits.
+_LETTER_DIGITS = str.maketrans("OoIl|", "00111")
+_NEAR_DIGITS = re.compile(r"(?<![A-Za-z0-9|])(?=[OoIl|]*[0-9])[0-9OoIl|]*[OoIl|][0-9OoIl|]*(?![A-Za-z0-9|])|(?<=\+)[OoIl|](?=[ (])")
 
 
 class Tape:
@@ -165,22 +191,38 @@ def _look_alikes(tape: Tape) -> Tape:
     return tape.rewrite(edits) if edits else tape
 
 
-def _spelled_digits(tape: Tape) -> Tape:
+def _near_digits(tape: Tape) -> Tape:
+    edits = [(m.start(), m.end(), m.group().translate(_LETTER_DIGITS)) for m in _NEAR_DIGITS.finditer(tape.text)]
+    return tape.rewrite([(a + k, a + k + 1, c) for a, b, new in edits for k, c in enumerate(new) if tape.text[a + k] != c]) if edits else tape
+
+
+def _spelled_digits(tape: Tape, within=lambda a, b: False) -> Tape:
+    """Spelled digits become digits; what stands between two of them goes, so that they join. A run
+    has two spelled digits at least and doesn't go on from a plain identifier (``within``)."""
     edits = []
     for m in _SPELLED.finditer(tape.text):
-        for w in _ONE_WORD.finditer(tape.text, m.start(), m.end()):
-            if len(w.group()) > 1:
-                edits.append((w.start(), w.end(), _NUMBER[w.group().lower()]))
+        words = [w for w in _ONE_WORD.finditer(tape.text, m.start(), m.end()) if w.group(1) or w.group(2)]
+        if sum(w.group(2) is not None for w in words) < 2 or within(*tape.source(m.start(), m.start() + 1)):
+            continue
+        for w in words:
+            if w.group(1):
+                edits.append((*w.span(1), "+"))
+            if w.group(2):
+                edits.append((*w.span(2), _NUMBER[w.group(2).lower()]))
+                if w.group(3):
+                    edits.append((*w.span(3), ""))
     return tape.rewrite(edits) if edits else tape
 
 
 def _addresses(tape: Tape) -> Tape:
     edits = []
     for m in _DISGUISED.finditer(tape.text):
-        k = next(k for k in ("", "2", "3") if m.group("at" + k) is not None)
+        k = next(k for k in ("", "2", "3", "4") if m.group("at" + k) is not None)
         for a, b in (m.span("local"), m.span("host" + k)):
             edits += [(d.start(), d.end(), ".") for d in _DOTS.finditer(tape.text, a, b)]
         edits.append((*m.span("at" + k), "@"))
+    edits += [(*m.span("at"), "@") for m in _PLAIN_HOST.finditer(tape.text)]
+    edits += [(*j.span(), "@" if j.group(2) else ".") for m in _JOINED.finditer(tape.text) for j in _JOINT.finditer(tape.text, *m.span())]
     for m in _IP_DISGUISED.finditer(tape.text):
         edits += [(d.start(), d.end(), ".") for d in _DOTS.finditer(tape.text, *m.span())]
     kept, last = [], 0
@@ -191,29 +233,37 @@ def _addresses(tape: Tape) -> Tape:
     return tape.rewrite(kept) if kept else tape
 
 
-#: Two spelled digits after separators, in lower case: cheap, and in every run of three or more.
-_SPOKEN = re.compile(rf"[ ,.\-](?:{_WORDS})[ ,.\-]+(?:{_WORDS}|[0-9])")
-_AT_SIGNS = ("(", "[", "{", "<", " dot ", "\tdot", "\ndot")
+#: Two spelled digits in a row, in lower case: cheap, and in every run of four.
+_SPOKEN = re.compile(rf"(?:[ ,.+(\-]|^)(?:{_WORDS})[ ,.\-]+(?:{_WORDS}|[0-9]|dot |punkt |point |punto )|[0-9][ ,.\-]+(?:{_WORDS})[ ,.\-]", re.M)
+_AT_SIGNS = ("(", "[", "{", "<", "_at", "-at", " dot ", "\tdot", "\ndot", " at ", " punkt ", " point ", " punto ", " arroba ", " arobase ", "%40", "&#", "&commat")
+_LETTER_HINT = re.compile(r"[0-9][OoIl|]|[OoIl|][0-9]|\+[OoIl|][ (]")
+_CODED = ("%40", "&#", "&commat")
 
 
 def disguised_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Identifiers seen only after rewriting, in source code points, none overlapping a plain one."""
+    """Identifiers seen only after rewriting, in source code points: none within a plain one, but
+    they may hold one (a plain match can be a piece of a disguised identifier)."""
     odd = not text.isascii() and _ODD.search(text)
     small = text.lower()
-    if not odd and not _SPOKEN.search(small) and not (any(x in small for x in _AT_SIGNS) and _AT_HINT.search(small)):
+    letters = _LETTER_HINT.search(text)
+    spoken = _SPOKEN.search(small)
+    signs = any(x in small for x in _AT_SIGNS) and (_AT_HINT.search(small) or any(x in small for x in _CODED))
+    if not (odd or letters or spoken or signs):
         return []
     tape = Tape(text)
     if odd:
         tape = _look_alikes(tape)
-    tape = _addresses(_spelled_digits(tape))
-    taken = sorted((a, b) for _, a, b in base)
-    out = []
-    for kind, a, b in base_spans(tape.text):
-        a, b = tape.source(a, b)
-        if all(b <= x or y <= a for x, y in taken):
-            out.append((kind, a, b))
-            taken.append((a, b))
-    return out
+    if letters or odd:
+        tape = _near_digits(tape)
+    starts, reach = [a for _, a, _ in base], list(accumulate((b for *_, b in base), max))
+
+    def within(a: int, b: int) -> bool:
+        k = bisect_right(starts, a)
+        return k > 0 and reach[k - 1] >= b
+
+    tape = _addresses(_spelled_digits(tape, within))
+    found = ((kind, *tape.source(a, b)) for kind, a, b in base_spans(tape.text))
+    return [(kind, a, b) for kind, a, b in found if not within(a, b)]
 
 
 def all_spans(text: str) -> tuple[list, list]:

@@ -385,7 +385,14 @@ def test_pii_base_on_random_strings():
     [
         ("mail joe dot smith at mail3 dot example dot com now", "joe dot smith at mail3 dot example dot com", "email"), ("write joe [at] mail.example.com, ok", "joe [at] mail.example.com", "email"),
         ("joe(at)mail(dot)example(dot)com", "joe(at)mail(dot)example(dot)com", "email"), ("ｊｏｅ@ｍａｉｌ.example.com", "ｊｏｅ@ｍａｉｌ.example.com", "email"), ("é jоe@exаmple.com", "jоe@exаmple.com", "email"),
-        ("+one two one two five five five one two three four", "+one two one two five five five one two three four", "phone"), ("at 10 dot 20 dot 30 dot 40 here", "10 dot 20 dot 30 dot 40", "ip"), ("card four one one one 1111 1111 1111", "four one one one 1111 1111 1111", "card"),
+        ("jane.doe AT example DOT com", "jane.doe AT example DOT com", "email"), ("jane_doe {at} example {dot} org", "jane_doe {at} example {dot} org", "email"), ("jane.doe@example dot com", "jane.doe@example dot com", "email"),
+        ("in und.34 at mail7.example.com geiever", "und.34 at mail7.example.com", "email"), ("jane.doe＠example．com hi", "jane.doe＠example．com", "email"), ("jane&#64;example.com hi", "jane&#64;example.com", "email"), ("a jane%40example.com hi", "jane%40example.com", "email"),
+        ("a joe_at_mail_dot_example_dot_com hi", "joe_at_mail_dot_example_dot_com", "email"), ("joe arroba mail punto example punto com x", "joe arroba mail punto example punto com", "email"),
+        ("to jоe.34@mail.com x", "jоe.34@mail.com", "email"), ("to joe.34@mail.exаmple.com x", "joe.34@mail.exаmple.com", "email"), ("to joe.34@mail\u200b7.exam\u200bple.com x", "joe.34@mail\u200b7.exam\u200bple.com", "email"),
+        ("+one two one two five five five one two three four", "+one two one two five five five one two three four", "phone"), ("call plus one two one two five five five one two three four", "plus one two one two five five five one two three four", "phone"),
+        ("+l (O17) 555-77l3 x", "+l (O17) 555-77l3", "phone"), ("+1 (017) 555‑7713 x", "+1 (017) 555‑7713", "phone"), ("+1 (zero one seven) five five five-seven seven one three x", "+1 (zero one seven) five five five-seven seven one three", "phone"),
+        ("at 10 dot 20 dot 30 dot 40 here", "10 dot 20 dot 30 dot 40", "ip"), ("ip 97.51[.]17[.]173 z", "97.51[.]17[.]173", "ip"), ("at one two seven dot zero dot zero dot one here", "one two seven dot zero dot zero dot one", "ip"),
+        ("card four one one one 1111 1111 1111", "four one one one 1111 1111 1111", "card"), ("card 4III I1l1 1111 1111 x", "4III I1l1 1111 1111", "card"), ("n vier acht vier fünf eins sechs acht eins eins vier vier null sieben drei zwei neun", "vier acht vier fünf eins sechs acht eins eins vier vier null sieben drei zwei neun", "card"),
     ],
 )
 def test_pii_disguises(text, span, kind):
@@ -394,11 +401,25 @@ def test_pii_disguises(text, span, kind):
     assert f"[{kind.upper()}]" in pii.mask(text, every) and span not in pii.mask(text, every)
 
 
-@pytest.mark.parametrize("text", ["meet me at noon. Then go", "one two three", "he is at home. dot", "a (at) b", "The seven and the nine", "ein at an der dot"])
+@pytest.mark.parametrize("text", ["meet me at noon. Then go", "one two three", "he is at home. dot", "a (at) b", "The seven and the nine", "ein at an der dot", "Visit us at example.com now", "un deux trois quatre cinq six sept", "10l of oil and 20l", "[at] the end (dot)", "snow-at-sea"])
 def test_pii_leaves_prose(text):
     assert pii.all_spans(text)[1] == []
 
 
+@pytest.mark.parametrize("text", ["a_dot_" * 20_000, "1 " * 50_000 + "one", "one" + " ," * 50_000, "one " * 20_000, "a at " * 20_000, "(" * 50_000 + "at", "x" * 200_000 + " (at) y", "7" * 200_000 + " one two three", "a dot " * 20_000, "l1" * 50_000, "a%40" * 20_000])
+def test_pii_of_long_runs_is_quick(text):
+    import time
+
+    began = time.perf_counter()
+    assert pii.all_spans(text)[1] == [] and time.perf_counter() - began < 5
+
+
+def test_pii_words_after_a_number_are_prose():
+    text = "ouvi. +1 (848) 555-1373 Un an. Un deux trois"
+    base, every = pii.all_spans(text)
+    assert base == every == [("phone", 6, 23)]
+
+
 def test_pii_odd(odd, none):
     rows = pii.find_pii(odd).collect()
     assert len(rows) == len(ODD) and all(r.spans == "" for r in rows)
