@@ -2,8 +2,9 @@
 
 Calls and results meet in hash joins on (conversation, identifier), so no task holds a
 conversation and a conversation of any length is only rows. Calls are put in topological order by
-layers: a call's level is one more than the highest level of the calls it comes after, found in
-rounds over the calls whose predecessors are all known; what never becomes known is a cycle.
+layers: a call's level is one more than the highest level of the calls it comes after. Chains of
+calls with one predecessor are jumped along in doubling steps; then rounds go over the calls whose
+predecessors are all known; what never becomes known is a cycle.
 Arguments are checked against each tool's JSON schema and every event is written as canonical JSON
 (keys sorted, no spaces, whole numbers without a fraction). Events sort by (conv_id, level, turn,
 part).
@@ -118,32 +119,61 @@ def read_turns(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return calls, results
 
 
+def _chains(alone: DataFrame) -> DataFrame:
+    """(conv_id, call_id, anchor, offset): calls with one predecessor, the call that their chain of
+    such calls starts after, and how many steps back it is.
+
+    ``alone``: (conv_id, call_id, before). Every round jumps over what the call jumped to has already
+    jumped over, so a chain of n calls takes about log2(n) rounds. A round that settles none leaves
+    only what hangs on a cycle; its anchors are then calls of ``alone`` themselves."""
+    spark, own = alone.sparkSession, ["conv_id", "call_id"]
+    ends = alone.select("conv_id", F.col("call_id").alias("before"), F.lit(True).alias("inner"))
+    now = alone.join(ends, ["conv_id", "before"], "left").select(*own, F.col("before").alias("anchor"), F.lit(1).cast("long").alias("offset"), F.col("inner").isNull().alias("done"))
+    schema, path, before = now.schema, write_table(now, "calls-chains"), None
+    while True:
+        now = read_table(spark, path, schema)
+        left = now.filter("NOT done").count()
+        if left == 0 or left == before:
+            return now.drop("done")
+        before = left
+        there = now.select("conv_id", F.col("call_id").alias("anchor"), F.col("anchor").alias("far"), F.col("offset").alias("more"), F.col("done").alias("ended"))
+        moved = now.filter("NOT done").join(there, ["conv_id", "anchor"]).select(*own, F.col("far").alias("anchor"), (F.col("offset") + F.col("more")).alias("offset"), F.col("ended").alias("done"))
+        old, path = path, write_table(now.filter("done").unionByName(moved), "calls-chains")
+        drop_table(spark, old)
+
+
 def _levels(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, level): calls without known predecessors have level 0; calls in or after a
-    cycle are left out. Predecessors that no call has count for nothing."""
-    spark = calls.sparkSession
-    nodes = calls.select("conv_id", "call_id")
-    edges = calls.select("conv_id", "call_id", F.explode("after").alias("before")).distinct()
-    edges = edges.join(nodes.withColumnRenamed("call_id", "before"), ["conv_id", "before"], "left_semi")
-    edges = materialize(edges, "calls-edges")
-    done = nodes.join(edges, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0).cast("long"))
-    schema, path = done.schema, write_table(done, "calls-level")
-    known = [path]
-    left, before = edges, None
+    cycle are left out. Predecessors that no call has count for nothing.
+
+    Chains are first shortened to their ends, so the rounds that follow are as many as calls with
+    several predecessors come one after another."""
+    spark, own = calls.sparkSession, ["conv_id", "call_id"]
+    nodes = calls.select(*own)
+    edges = calls.select(*own, F.explode("after").alias("before")).distinct()
+    edges = materialize(edges.join(nodes.withColumnRenamed("call_id", "before"), ["conv_id", "before"], "left_semi"), "calls-edges")
+    alone = edges.groupBy(*own).agg(F.count("*").alias("n"), F.min("before").alias("before")).filter("n = 1").select(*own, "before")
+    alone = materialize(alone, "calls-alone")
+    chains = _chains(alone)
+    start = chains.select("conv_id", F.col("call_id").alias("before"), "anchor", "offset")
+    merging = edges.join(alone.select(*own), own, "left_anti").join(start, ["conv_id", "before"], "left")
+    left = materialize(merging.select(*own, F.coalesce("anchor", "before").alias("before"), (F.coalesce("offset", F.lit(0)) + 1).alias("step")), "calls-merging")
+    done = nodes.join(edges, own, "left_anti").withColumn("level", F.lit(0).cast("long"))
+    schema, path, before = done.schema, write_table(done, "calls-level"), None
     while True:
-        all_known = read_table(spark, path, schema)
+        known = read_table(spark, path, schema)
         now = left.count()
         if now == 0 or now == before:
             break
         before = now
-        met = left.join(all_known.select("conv_id", F.col("call_id").alias("before"), F.col("level").alias("b")), ["conv_id", "before"], "left")
-        met = met.groupBy("conv_id", "call_id").agg(F.count_if(F.col("b").isNull()).alias("open"), F.max("b").alias("b"))
-        new = materialize(met.filter("open = 0").select("conv_id", "call_id", (F.col("b") + 1).alias("level")), "calls-new")
-        path = write_table(all_known.unionByName(new), "calls-level")
-        left = materialize(left.join(new, ["conv_id", "call_id"], "left_anti"), "calls-left")
-        drop_table(spark, known[-1])
-        known.append(path)
-    return read_table(spark, path, schema)
+        met = left.join(known.select("conv_id", F.col("call_id").alias("before"), F.col("level").alias("b")), ["conv_id", "before"], "left")
+        met = met.groupBy(*own).agg(F.count_if(F.col("b").isNull()).alias("open"), F.max(F.col("b") + F.col("step")).alias("level"))
+        new = materialize(met.filter("open = 0").select(*own, "level"), "calls-new")
+        old, path = path, write_table(known.unionByName(new), "calls-level")
+        left = materialize(left.join(new, own, "left_anti"), "calls-left")
+        drop_table(spark, old)
+    ends = known.select("conv_id", F.col("call_id").alias("anchor"), F.col("level").alias("b"))
+    return known.unionByName(chains.join(ends, ["conv_id", "anchor"]).select(*own, (F.col("b") + F.col("offset")).alias("level")))
 
 
 _OUT = "conv_id long, turn long, part int, kind string, call_id string, status string, level long, valid boolean, problems string, canonical string"

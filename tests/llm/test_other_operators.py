@@ -146,6 +146,23 @@ def test_links_order_and_validation(spark):
     assert toolcalls.link_calls(c.limit(0), r.limit(0), TOOLS).count() == 0
 
 
+def test_levels_against_brute_force(spark):
+    """A long chain, chains that branch and meet, and what hangs on cycles."""
+    import random
+
+    g = random.Random(5)
+    after = {f"l{k}": [f"l{k - 1}"] if k else [] for k in range(130)}
+    after |= {f"d{k}": [f"d{j}" for j in g.sample(range(k), min(k, g.choice([0, 1, 1, 1, 2])))] for k in range(60)}
+    after |= {"x0": ["x2"], "x1": ["x0"], "x2": ["x1"], "x3": ["x2"], "x4": ["x3", "l3"], "x5": ["x5"], "m": ["l129", "d59", "gone"]}
+    level, rest = {}, dict(after)
+    while ready := [k for k, v in rest.items() if all(p in level or p not in after for p in v)]:
+        level |= {k: max((level[p] + 1 for p in rest[k] if p in level), default=0) for k in ready}
+        rest = {k: v for k, v in rest.items() if k not in level}
+    df = spark.createDataFrame([(c, k, v) for c in (1, 2) for k, v in after.items()], "conv_id long, call_id string, after array<string>")
+    got = {(r.conv_id, r.call_id): r.level for r in toolcalls._levels(df).collect()}
+    assert got == {(c, k): n for c in (1, 2) for k, n in level.items()} and not any(k[1].startswith("x") for k in got)
+
+
 def test_calls_written_into_messages(spark):
     m = [
         (1, 0, "user", "add, please"), (1, 1, "assistant", 'ok <tool_call>{"id": "k", "name": "add", "arguments": {"a": 1, "b": 2}}</tool_call><tool_call>{"id": "l", "name": "add", "arguments": {"a": 2, "b": 2}, "after": ["k"]}</tool_call>'),
