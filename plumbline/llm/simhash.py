@@ -1,9 +1,10 @@
 """SimHash near-duplicates: 64-bit fingerprints compared exactly, tile against tile.
 
-Fingerprints are made once per text in Arrow batches. Distinct fingerprints are dealt by hash into
-groups of bounded size; every pair of groups is one task, in which both sides are sorted by the
-bit counts of their two halves and cut into tiles. A pair of tiles whose counts differ by more
-than the radius can't hold a link and is skipped; the others are compared whole by numpy's
+Fingerprints are made once per text in Arrow batches. Distinct fingerprints are gathered into groups
+of bounded size by the bit counts of their two halves; a pair of groups is one task, unless the
+counts of all of one differ from all of the other's by more than the radius: those hold no link and
+never meet. Within a task both sides are sorted by the same counts and cut into tiles, pairs of
+tiles beyond the radius are skipped likewise, and the others are compared whole by numpy's
 exclusive-or and bit counts. A task returns a spanning forest of its links, so a group of copies
 never leaves as all its pairs, and no link between components is lost.
 """
@@ -172,16 +173,47 @@ def _compare(radius: int):
     return run
 
 
-def components(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+def _bands(counts: dict[tuple[int, int], int], most: int):
+    """Classes of fingerprints (bit counts of the low and the high half) gathered in order into bands
+    of about ``most``; a class that is larger is a band of several groups. Returns the band of each
+    class and, for each band, (low least, low most, high least, high most, groups)."""
+    of, bands, held = {}, [], 0
+    for low, high in sorted(counts):
+        n = counts[low, high]
+        if not bands or held + n > most:
+            bands.append([low, low, high, high, max(1, math.ceil(n / most))])
+            held = 0
+        held += n
+        box = bands[-1]
+        box[1], box[2], box[3] = low, min(box[2], high), max(box[3], high)
+        of[low, high] = len(bands) - 1
+    return of, bands
+
+
+def _near(bands, radius: int):
+    """(band, first group, last group) of every band that may hold a link to it, itself included."""
+    first = [0, *np.cumsum([x[4] for x in bands]).tolist()]
+    gap = lambda a, b, k: max(0, a[k] - b[k + 1], b[k] - a[k + 1])
+    return first, [(i, first[j], first[j + 1] - 1) for i, a in enumerate(bands) for j, b in enumerate(bands) if gap(a, b, 0) + gap(a, b, 2) <= radius]
+
+
+def components(fps: DataFrame, radius: int = RADIUS, group_rows: int = GROUP_ROWS) -> DataFrame:
     """(fp, component_id) for each distinct fp of ``fps`` (doc_id, fp): the smallest doc_id that
     links of at most ``radius`` bits reach. Fingerprints seen only with a null doc_id have none."""
+    spark = fps.sparkSession
     distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).filter("rep is not null"), "simhash-distinct")
-    groups = max(MIN_GROUPS, math.ceil(distinct.count() / GROUP_ROWS))
-    dealt = distinct.groupBy(F.pmod(F.xxhash64("fp"), F.lit(groups)).cast("int").alias("g")).agg(
-        F.collect_list("fp").alias("fps"), F.collect_list("rep").alias("reps")
-    )
-    every = F.sequence(F.lit(0), F.lit(groups - 1))
-    cells = dealt.withColumn("other", F.explode(every)).select(
+    low, high = F.bit_count(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))), F.bit_count(F.shiftrightunsigned("fp", 32))
+    marked = distinct.withColumns({"low": low.cast("int"), "high": high.cast("int")})
+    # At most 33 x 33 rows, whatever the input.
+    counts = {(r.low, r.high): r["count"] for r in marked.groupBy("low", "high").count().collect()}
+    of, bands = _bands(counts, min(group_rows, max(1, math.ceil(sum(counts.values()) / MIN_GROUPS))))
+    first, near = _near(bands, radius)
+    # Both tables are bounded by the number of classes.
+    classes = spark.createDataFrame([(*c, b, first[b], bands[b][4]) for c, b in of.items()], "low int, high int, band int, first long, groups long")
+    near = spark.createDataFrame(near, "band int, from long, to long")
+    named = marked.join(F.broadcast(classes), ["low", "high"])
+    dealt = named.groupBy("band", (F.col("first") + F.pmod(F.xxhash64("fp"), F.col("groups"))).alias("g")).agg(F.collect_list("fp").alias("fps"), F.collect_list("rep").alias("reps"))
+    cells = dealt.join(F.broadcast(near), "band").withColumn("other", F.explode(F.sequence("from", "to"))).select(
         F.least("g", "other").alias("ci"), F.greatest("g", "other").alias("cj"), "g", "fps", "reps"
     )
     links = cells.groupBy("ci", "cj").applyInArrow(_compare(radius), "a long, b long")

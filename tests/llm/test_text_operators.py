@@ -112,6 +112,18 @@ def test_tiles_find_every_link(sizes):
         assert root.tolist() == [find(k) for k in range(len(both))]
 
 
+@pytest.mark.parametrize("group_rows", [1 << 17, 40])
+def test_groups_by_bit_counts_lose_no_link(spark, group_rows):
+    g = np.random.default_rng(1)
+    base = g.integers(0, 1 << 64, 700, dtype=np.uint64)
+    moved = [base[k % 200] ^ np.uint64(sum(1 << int(x) for x in g.choice(64, k % 7, replace=False))) for k in range(700)]
+    a = np.array([*base, *moved, *[np.uint64(0)] * 3, np.uint64((1 << 64) - 1), np.uint64(1)], np.uint64)
+    root = simhash.link_forest(a, None)
+    rows = [(k, int(v)) for k, v in enumerate(a.view(np.int64))]
+    got = {r.fp: r.component_id for r in simhash.components(spark.createDataFrame(rows, "doc_id long, fp long"), group_rows=group_rows).collect()}
+    assert [got[fp] for _, fp in rows] == root.tolist()
+
+
 def test_components_of_a_long_chain_and_a_hub(spark):
     from plumbline.llm.components import smallest_reachable
 
