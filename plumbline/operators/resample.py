@@ -132,7 +132,7 @@ def poisson_ks_ci(reference: DataFrame, candidate: DataFrame, key: str, n_boot:
 
 def poisson_shift_ci(reference: DataFrame, candidate: DataFrame, key: str, qs, n_boot: int = 50, seed: int = SEED, level: float = LEVEL) -> DataFrame:
     """(q, n_boot, lo, hi), T3: candidate quantile less reference quantile in each replicate, linear
-    between order statistics of the weighted rows."""
+    between order statistics of the weighted rows. A replicate's distinct scores meet in one task."""
     w = _both_weighted(reference, candidate, key, n_boot, seed)
     at = F.array(*(F.lit(float(q)) for q in qs))
     # Spark counts a frequency of zero as absence, so each side's quantiles see its own rows only.
