@@ -13,6 +13,7 @@ import re
 import struct
 import zlib
 from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from plumbline.llm.common import raw_texts, short_batches
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 THREADS = 2
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
@@ -143,12 +144,15 @@ class PieceCoder:
         self.whole, self.bare = self.spec.tokenizer(), Tokenizer(self.spec.model())
         self.bare.decoder = self.whole.decoder
         self.words: dict[str, bytes] = {}
-        self.unequal: set[str] = set()
+        #: Of those words: ids that the library has otherwise, unknown pieces, no way back.
+        self.unequal: dict[str, int] = {}
+        self.unknown: dict[str, int] = {}
+        self.lossy: dict[str, int] = {}
         if verify:
             import sentencepiece
 
             self.native = sentencepiece.SentencePieceProcessor(model_proto=data)
-        self.octets = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else " ⁇ ".encode() if kind == UNKNOWN else p.replace(MARK, " ").encode() for p, _, kind in self.spec.pieces]
+        self.octets = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else " ⁇ ".encode() if kind == UNKNOWN else p.replace(MARK, " ").encode() for p, _, kind in self.spec.pieces] + [b"\xff"]
 
     def normalize(self, text: str) -> str:
         if not self.spec.charsmap and not self.spec.squeeze and self.spec.escape:
@@ -167,28 +171,41 @@ class PieceCoder:
         if self.native is not None:
             cut = int(self.spec.prefix)
             # A marker alone can't be asked for: the library puts no marker before an empty text.
-            asked = [w[cut:].replace(MARK, " ") if (w.startswith(MARK) and w[cut:]) or not cut else None for w in new]
-            told = iter(self.native.encode([a for a in asked if a is not None], num_threads=self.threads))
-            for k, a in enumerate(asked):
-                if a is not None and (truth := next(told)) != ids[k]:
-                    self.unequal.add(new[k])
-                    ids[k] = truth
-        self.words.update((w, struct.pack(f"<{len(i)}I", *i)) for w, i in zip(new, ids))
-
-    def encode(self, texts: list[str]) -> list[tuple[bytes, int]]:
-        """(ids as little-endian unsigned 32-bit, words that differed from the library) by text."""
+            which = [k for k, w in enumerate(new) if (w[0] == MARK and len(w) > cut) or not cut]
+            told = self.native.encode([new[k][cut:].replace(MARK, " ") for k in which], num_threads=self.threads)
+            if told != [ids[k] for k in which]:
+                for k, truth in zip(which, told):
+                    if truth != ids[k]:
+                        self.unequal[new[k]] = 1
+                        ids[k] = truth
+        ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
+        flat = np.fromiter(chain.from_iterable(ids), np.dtype("<u4"), int(ends[-1]))
+        raw, cuts = flat.tobytes(), (4 * ends).tolist()
+        self.words.update(zip(new, map(raw.__getitem__, map(slice, [0, *cuts], cuts))))
+        if (flat == self.spec.unk).any():
+            self.unknown.update((w, i.count(self.spec.unk)) for w, i in zip(new, ids) if self.spec.unk in i)
+        # All words decoded at once, a byte that UTF-8 never has between them.
+        back = b"".join(map(self.octets.__getitem__, np.insert(flat, ends, len(self.octets) - 1).tolist()))
+        want = "\udcff".join([*new, ""]).replace(MARK, " ").encode("utf-8", "surrogateescape")
+        if back != want:
+            self.lossy.update((w, 1) for w, x, y in zip(new, back.split(b"\xff"), want.split(b"\xff")) if x != y)
+
+    def encode(self, texts: list[str]) -> list[tuple[bytes, int, bool, int]]:
+        """(ids as little-endian unsigned 32-bit, unknown ids, whether decoding gives the normalised
+        text back, words that differed from the library) by text. Pieces never reach over words, so
+        all of this is known by word."""
         split = [self._split(self.normalize(t)) for t in texts]
-        new: set[str] = set()
-        for words in split:
-            new.update(words)
-        new.difference_update(self.words)
+        every = set().union(*split)
+        new = every - self.words.keys()
         if len(self.words) + len(new) > CACHE_WORDS:
-            self.words.clear()
-            new = set().union(*split)
+            for held in (self.words, self.unequal, self.unknown, self.lossy):
+                held.clear()
+            new = every
         if new:
-            self._add(sorted(new))
+            self._add(list(new))
         look = self.words.__getitem__
-        return [(b"".join(map(look, words)), sum(w in self.unequal for w in words) if self.unequal else 0) for words in split]
+        total = lambda odd, words: sum(map(odd.get, filter(odd.__contains__, words))) if odd else 0
+        return [(b"".join(map(look, words)), total(self.unknown, words), not total(self.lossy, words), total(self.unequal, words)) for words in split]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: pieces joined, bytes read as UTF-8, the leading marker dropped."""
@@ -215,11 +232,8 @@ def _encoder(path, verify, with_ids):
         coder = loaded(path, verify)
         texts = [r.decode("utf-8", "replace") for r in raws]
         out = [ids, [], [], [], [], [], []]
-        for text, (coded, unequal) in zip(texts, coder.encode(texts)):
-            numbers = np.frombuffer(coded, "<u4")
-            back = coder.decode(numbers)
-            same = back.replace(" ", MARK) == coder.normalize(text)[int(coder.spec.prefix and bool(text)) :].replace(" ", MARK)
-            for c, x in zip(out[1:], (len(numbers), int((numbers == coder.spec.unk).sum()), zlib.crc32(coded), same, unequal, numbers.astype(np.int32) if with_ids else None)):
+        for coded, unknown, same, unequal in coder.encode(texts):
+            for c, x in zip(out[1:], (len(coded) // 4, unknown, zlib.crc32(coded), same, unequal, np.frombuffer(coded, "<u4").astype(np.int32) if with_ids else None)):
                 c.append(x)
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int32()))
         names = ["doc_id", "n_tokens", "n_unknown", "ids_crc32", "round_trip", "n_unequal", "ids"]

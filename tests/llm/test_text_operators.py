@@ -193,9 +193,11 @@ def test_unigram_model_with_byte_fallback(tmp_path, squeeze):
     coder, lib = pieces.PieceCoder(str(path)), sentencepiece.SentencePieceProcessor(model_file=str(path))
     g = random.Random(1)
     cases = ["", "ab", "abab aba", "é b", "a  b", " ab "] + ["".join(g.choice("ab é") for _ in range(g.randint(1, 30))) for _ in range(200)]
-    for t, (ids, unequal) in zip(cases, coder.encode(cases)):
+    for t, (ids, unknown, same, unequal) in zip(cases, coder.encode(cases)):
         assert np.frombuffer(ids, "<u4").tolist() == lib.encode(t), t
-        assert unequal == 0 and coder.whole.encode(t, add_special_tokens=False).ids == lib.encode(t)
+        assert unequal == unknown == 0 and coder.whole.encode(t, add_special_tokens=False).ids == lib.encode(t)
+        back = coder.decode(np.frombuffer(ids, "<u4"))
+        assert same == (back == coder.normalize(t).replace(pieces.MARK, " ")[int(coder.spec.prefix and bool(t)) :]), t
 
 
 # -- 4 ---------------------------------------------------------------------------------------------
