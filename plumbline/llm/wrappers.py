@@ -8,7 +8,8 @@ expression without unions. Only distinct wrappers are aligned, in groups of boun
 merged in rounds, so a host's page count doesn't matter. Slot statistics over all pages (text,
 link text, whether a slot's text ever changes) and the tags around a slot then tell the article's
 slots from menus, notices and other template parts, and every page is read through its host's
-wrapper.
+wrapper. A host may have several layouts: a page takes the best of the host's article regions that
+it has.
 """
 
 from __future__ import annotations
@@ -275,40 +276,83 @@ def _off(known: tuple[str, ...]) -> bool:
     return False
 
 
-def choose(stats: dict[tuple, tuple]) -> set[tuple]:
-    """Slots of the article. ``stats``: by slot (tags around it, pages, characters, link characters,
-    whether its text is the same on every page)."""
-    good = {s: v for s, v in stats.items() if not _off(v[0])}
-    changing = any(v[1] > 1 and not v[4] for v in good.values())
-    good = {
-        s: v
-        for s, v in good.items()
-        if not (changing and v[4] and v[1] > 2 and not any(k.split(".")[0] in ("article", "main") for k in v[0])) and not (v[3] > 0.6 * v[2] and v[0][-1:] != ("p",))
-    }
-    if not good:
-        return set()
+def _within(known: tuple, region: tuple) -> bool:
+    return known[: len(region)] == region
+
+
+def _totals(weights) -> tuple[dict, dict]:
+    """Characters under every path of (tags around a slot, characters), and the paths whose tag or
+    words name an article: 2 for an article element, 1 for others."""
     total: dict[tuple, int] = {}
     marks: dict[tuple, int] = {}
-    for slot, v in good.items():
-        known = v[0]
+    for known, chars in weights:
         for depth in range(len(known) + 1):
-            total[known[:depth]] = total.get(known[:depth], 0) + v[2]
+            total[known[:depth]] = total.get(known[:depth], 0) + chars
         for depth, key in enumerate(known, 1):
             tag, *words = key.split(".")
             if tag in ("article", "main") or any(w in _MAIN_WORDS for w in words):
                 marks[known[:depth]] = 2 if tag == "article" else 1
+    return total, marks
+
+
+def _regions(weights) -> tuple[list, dict]:
+    """(path, mark) of the regions that may be the article, best first: all sure marked ones, or the
+    smallest unmarked one (mark 0) that holds nearly all of the text; and the marked paths that are
+    beside every sure one, which an article of a rarer layout may have."""
+    total, marks = _totals(weights)
     top = max(total.values())
     sure = [r for r in marks if total[r] >= 0.25 * top]
     if sure:
-        region = max(sure, key=lambda r: (marks[r] == 2, total[r], -len(r)))
-    else:
-        region = ()
-        while True:
-            below = max((r for r in total if len(r) == len(region) + 1 and r[: len(region)] == region), key=lambda r: total[r], default=None)
-            if below is None or total[below] < 0.8 * total[region] or below[-1].split(".")[0] in ("p", "li", "td", "h1"):
-                break
-            region = below
-    return {s for s, v in good.items() if v[0][: len(region)] == region}
+        best = sorted(sure, key=lambda r: (marks[r] == 2, total[r], -len(r)), reverse=True)
+        return [(r, marks[r]) for r in best], {r: m for r, m in marks.items() if not any(_within(r, x) or _within(x, r) for x in sure)}
+    region = ()
+    while True:
+        below = max((r for r in total if len(r) == len(region) + 1 and r[: len(region)] == region), key=lambda r: total[r], default=None)
+        if below is None or total[below] < 0.8 * total[region] or below[-1].split(".")[0] in ("p", "li", "td", "h1"):
+            return [(region, 0)], {}
+        region = below
+
+
+def choose(stats: dict[tuple, tuple]) -> tuple[dict, list, dict]:
+    """Slots that may be the article's, with the tags around them, and the host's regions, best
+    first, and those of rarer layouts. ``stats``: by slot (tags around it, pages, characters, link characters, whether its text
+    is the same on every page)."""
+    good = {s: v for s, v in stats.items() if not _off(v[0])}
+    changing = any(v[1] > 1 and not v[4] for v in good.values())
+    good = {
+        s: v
+        for s, v in good.items()
+        if not (changing and v[4] and v[1] > 2 and not any(k.split(".")[0] in ("article", "main") for k in v[0])) and not (v[3] > 0.6 * v[2] and v[0][-1:] != ("p",))
+    }
+    if not good:
+        return {}, [], {}
+    return {s: v[0] for s, v in good.items()}, *_regions([(v[0], v[2]) for v in good.values()])
+
+
+def _holds(node: Node, region: tuple) -> bool:
+    """Whether a page has an element at this path."""
+    if not region:
+        return True
+    return any(_holds(c, region[1:]) for c in node.children if isinstance(c, Node) and c.key == region[0])
+
+
+def article(tree: Node, found: list, good: dict, regions: list, rarer: dict) -> list[str]:
+    """The article's texts of one page. ``found``: (slot, text, tags around it). The page takes the
+    best of its host's regions that it has, if that has a quarter of the text of any region beside
+    it with the same mark; a page that has none of them is judged by its own text."""
+    texts = [(good[slot], words) for slot, words, _ in found if slot in good]
+    if not texts:
+        return []
+    size, _ = _totals([(known, len(words)) for known, words in texts])
+    here = [r for r in regions if _holds(tree, r[0])]
+    if not here:
+        here, rarer = _regions([(known, len(words)) for known, words in texts])
+    here = [*here, *((r, mark) for r, mark in rarer.items() if r in size)]
+    for region, mark in here:
+        n = size.get(region, 0)
+        if n and all(n >= 0.25 * size.get(r, 0) for r, m in here if m == mark and not _within(region, r)):
+            return [words for known, words in texts if _within(known, region)]
+    return []
 
 
 # -- on the cluster ------------------------------------------------------------------------------
@@ -405,11 +449,11 @@ def _translate(batches):
 
 
 @lru_cache(256)
-def _rules(stats: str) -> frozenset:
+def _rules(stats: str) -> tuple[dict, list, dict]:
     found = {}
     for slot, known, pages, chars, links, same in json.loads(stats):
         found[(tuple(json.loads(slot)), known)] = (tuple(known.split("/")) if known else (), pages, chars, links, bool(same))
-    return frozenset(choose(found))
+    return choose(found)
 
 
 @lru_cache(256)
@@ -424,8 +468,9 @@ def _extract(batches):
             if wrapper is None or stats is None:
                 texts.append("")
                 continue
-            kept = _rules(stats)
-            texts.append(" ".join(words for slot, (words, _), known in read(parse(page.as_py()), _loaded(wrapper)) if (slot, "/".join(known)) in kept))
+            tree = parse(page.as_py())
+            found = [((slot, "/".join(known)), words, known) for slot, (words, _), known in read(tree, _loaded(wrapper))]
+            texts.append(" ".join(article(tree, found, *_rules(stats))))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 

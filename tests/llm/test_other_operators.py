@@ -38,6 +38,28 @@ def test_pages_without_article_tags(spark):
     assert {r.page_id: r.text for r in got.collect()} == want
 
 
+LAYOUTS = {
+    "classes": ("<article class='post news'>{}</article>", "<article class='post sports'>{}</article>"),
+    "nested": ("<main><article>{}</article></main>", "<article>{}</article>"),
+    "marked and not": ("<div class=content>{}</div>", "<article>{}</article>"),
+    "unmarked": ("<div class=a><div class=b>{}</div></div>", "<div class=z>{}</div>"),
+    "with the other's teaser": ("<article class=news>{}</article>", "<article class=sports>{}</article><article class=news><p>Tease</article>"),
+}
+
+
+@pytest.mark.parametrize("layouts", LAYOUTS.values(), ids=LAYOUTS)
+@pytest.mark.parametrize("minority", [1, 5, 10])
+def test_pages_of_two_layouts_on_one_host(spark, layouts, minority):
+    rows, want = [], {}
+    for k in range(20):
+        words = f"Head {k}", f"{k} one two three four five six seven eight nine ten"
+        body = layouts[k < minority].format(f"<h2>{words[0]}</h2><p>{words[1]}</p>")
+        rows.append((k, "http://h.example/p", f"<body><nav><a href=x>N {k}</a></nav>{body}<footer>F {k}</footer></body>"))
+        want[k] = " ".join(words)
+    got = wrappers.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert {r.page_id: r.text for r in got.collect()} == want
+
+
 def test_alignment():
     a = wrappers.infer("<body><nav><ul><li>1<li>2</ul></nav><div class=c><p>x<p>y</div></body>")
     b = wrappers.infer("<body><div class=ad>z</div><div class=c><p>x<table><tr><td>1</table></div></body>")
