@@ -18,6 +18,7 @@ import html
 import json
 import re
 import zlib
+from decimal import Decimal
 from functools import lru_cache
 
 import pyarrow as pa
@@ -315,8 +316,8 @@ def _regions(weights) -> tuple[list, dict]:
 
 def choose(stats: dict[tuple, tuple]) -> tuple[dict, list, dict]:
     """Slots that may be the article's, with the tags around them, and the host's regions, best
-    first, and those of rarer layouts. ``stats``: by slot (tags around it, pages, characters, link characters, whether its text
-    is the same on every page)."""
+    first, and those of rarer layouts. ``stats``: by slot (tags around it, distinct pages as far as
+    three, characters, link characters, whether its text is the same on every page)."""
     good = {s: v for s, v in stats.items() if not _off(v[0])}
     changing = any(v[1] > 1 and not v[4] for v in good.values())
     good = {
@@ -369,11 +370,15 @@ def _digest(text: str) -> int:
     return zlib.crc32(text.encode("utf-8", "replace"))
 
 
-_SEEN = "host string, pattern string, slot string, known string, pages long, chars long, links long, low long, high long"
+_SUMS = "pages long, chars long, links long, low long, high long, least long, most long, marks decimal(38,0), squares decimal(38,0)"
+_SEEN = f"host string, pattern string, slot string, known string, {_SUMS}"
+_COLUMNS = [c.split()[0] for c in _SUMS.split(", ")]
+_OF_HOST = f"host string, wrapper string, slot string, known string, {_SUMS}"
 
 
 def _observe(batches):
-    """Statistics of each distinct single-page wrapper, summed within a batch."""
+    """Statistics of each distinct single-page wrapper, summed within a batch. A page's mark is the
+    digest of its texts that may be an article's: copies have the same."""
     for batch in batches:
         sums: dict[tuple, list] = {}
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -382,23 +387,27 @@ def _observe(batches):
             text, own = json.dumps(pattern, separators=(",", ":")), {}
             for slot, (words, links), known in read(tree, pattern):
                 own.setdefault((slot, known), []).append((words, links))
+            mark = _digest("\n".join(w for (_, known), found in own.items() if not _off(known) for w, _ in found))
             for (slot, known), found in own.items():
                 digest = _digest("\n".join(w for w, _ in found))
-                s = sums.setdefault((host, text, slot, known), [0, 0, 0, digest, digest])
+                s = sums.setdefault((host, text, slot, known), [0, 0, 0, digest, digest, mark, mark, 0, 0])
                 s[0] += 1
                 s[1] += sum(len(w) for w, _ in found)
                 s[2] += sum(n for _, n in found)
                 s[3], s[4] = min(s[3], digest), max(s[4], digest)
+                s[5], s[6] = min(s[5], mark), max(s[6], mark)
+                s[7] += mark
+                s[8] += mark * mark
         rows = [(h, t, json.dumps(s), "/".join(k), *v) for (h, t, s, k), v in sums.items()]
         yield _batch(rows, _SEEN)
 
 
-_TYPES = {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}
+_TYPES = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "decimal(38,0)": pa.decimal128(38, 0)}
 
 
 def _batch(rows, schema: str) -> pa.RecordBatch:
     fields = [f.split() for f in schema.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], _TYPES[t]) for k, (_, t) in enumerate(fields)], [n for n, _ in fields])
+    return pa.RecordBatch.from_arrays([pa.array([Decimal(r[k]) if "(" in t else r[k] for r in rows], _TYPES[t]) for k, (_, t) in enumerate(fields)], [n for n, _ in fields])
 
 
 def _merge_group(table: pa.Table) -> pa.Table:
@@ -442,17 +451,25 @@ def _slots_between(pattern: str, wrapper: str) -> dict:
 
 
 def _translate(batches):
-    names = "host string, wrapper string, slot string, known string, pages long, chars long, links long, low long, high long"
     for batch in batches:
-        rows = [(r["host"], r["wrapper"], _slots_between(r["pattern"], r["wrapper"]).get(r["slot"], "[-1]"), r["known"], r["pages"], r["chars"], r["links"], r["low"], r["high"]) for r in batch.to_pylist()]
-        yield _batch(rows, names)
+        rows = [(r["host"], r["wrapper"], _slots_between(r["pattern"], r["wrapper"]).get(r["slot"], "[-1]"), r["known"], *(r[c] for c in _COLUMNS)) for r in batch.to_pylist()]
+        yield _batch(rows, _OF_HOST)
+
+
+def _up_to_three(pages: int, least: int, most: int, marks: int, squares: int) -> int:
+    """How many different marks there are, three standing for more. The sum of (mark - least) x
+    (most - mark) is zero unless a mark lies between the two."""
+    if least == most:
+        return 1
+    return 3 if (least + most) * marks - squares - pages * least * most else 2
 
 
 @lru_cache(256)
 def _rules(stats: str) -> tuple[dict, list, dict]:
     found = {}
-    for slot, known, pages, chars, links, same in json.loads(stats):
-        found[(tuple(json.loads(slot)), known)] = (tuple(known.split("/")) if known else (), pages, chars, links, bool(same))
+    for slot, known, pages, chars, links, same, least, most, marks, squares in json.loads(stats):
+        distinct = _up_to_three(pages, least, most, marks, squares)
+        found[(tuple(json.loads(slot)), known)] = (tuple(known.split("/")) if known else (), distinct, chars, links, bool(same))
     return choose(found)
 
 
@@ -474,6 +491,12 @@ def _extract(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
+def _summed() -> list:
+    """Aggregates of all columns of ``_SUMS``."""
+    how = {"low": F.min, "least": F.min, "high": F.max, "most": F.max}
+    return [how.get(c, F.sum)(c).alias(c) for c in _COLUMNS]
+
+
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of every row: the article's blocks in page order, joined by one
     space. A null or empty page, or one without an article, has an empty text. Pages without a
@@ -481,12 +504,12 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     short_batches(pages.sparkSession)
     chosen = _prepared(pages, id_col, url_col, html_col)
     seen = chosen.select("host", "html").mapInArrow(_observe, _SEEN).groupBy("host", "pattern", "slot", "known")
-    seen = materialize(seen.agg(*(F.sum(c).alias(c) for c in ("pages", "chars", "links")), F.min("low").alias("low"), F.max("high").alias("high")), "wrapper-stats")
+    seen = materialize(seen.agg(*_summed()), "wrapper-stats")
     wrappers = infer_wrappers(seen.select("host", "pattern").distinct()).withColumnRenamed("pattern", "wrapper")
-    names = "host string, wrapper string, slot string, known string, pages long, chars long, links long, low long, high long"
-    summed = seen.join(wrappers, "host").mapInArrow(_translate, names).groupBy("host", "wrapper", "slot", "known")
-    summed = summed.agg(F.sum("pages").alias("pages"), F.sum("chars").alias("chars"), F.sum("links").alias("links"), (F.min("low") == F.max("high")).cast("int").alias("same"))
+    summed = seen.join(wrappers, "host").mapInArrow(_translate, _OF_HOST).groupBy("host", "wrapper", "slot", "known").agg(*_summed())
     # A host's row holds its wrapper's slots: bounded by the template, not by the pages.
-    row = F.concat(F.lit("["), F.concat_ws(",", F.concat(F.lit('"'), F.col("slot"), F.lit('"')), F.concat(F.lit('"'), F.col("known"), F.lit('"')), F.col("pages").cast("string"), F.col("chars").cast("string"), F.col("links").cast("string"), F.col("same").cast("string")), F.lit("]"))
+    same = (F.col("low") == F.col("high")).cast("int")
+    numbers = ["pages", "chars", "links", same, "least", "most", "marks", "squares"]
+    row = F.concat(F.lit("["), F.concat_ws(",", *(F.concat(F.lit('"'), F.col(c), F.lit('"')) for c in ("slot", "known")), *((F.col(c) if isinstance(c, str) else c).cast("string") for c in numbers)), F.lit("]"))
     rules = materialize(summed.groupBy("host", "wrapper").agg(F.concat(F.lit("["), F.concat_ws(",", F.array_sort(F.collect_list(row))), F.lit("]")).alias("stats")), "wrapper-rules")
     return chosen.join(rules, "host", "left").select("page_id", "url", "html", "wrapper", "stats").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

@@ -60,6 +60,22 @@ def test_pages_of_two_layouts_on_one_host(spark, layouts, minority):
     assert {r.page_id: r.text for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("copies", [1, 3, 50])
+def test_copies_of_a_page_are_no_template(spark, copies):
+    bodies = {1: "<p>One</p>", 2: "<p>Uno</p>", 3: "<p>Eins</p><blockquote>zwei</blockquote><h3>drei</h3>", 4: "<p>Only</p>"}
+    want = {1: "Head 1 One", 2: "Head 2 Uno", 3: "Head 3 Eins zwei drei", 4: "Head 4 Only"}
+    rows = [(k, "http://h.example/p", site(k, b + "<h4>Thanks for reading</h4>")) for k, b in bodies.items()]
+    rows += [rows[2]] * (copies - 1)
+    got = wrappers.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    assert len(got) == len(rows) and {(r.page_id, r.text) for r in got} == set(want.items())
+
+
+def test_distinct_marks_up_to_three():
+    for marks in ([5], [5, 5, 5], [0, 9], [9, 0, 0, 9], [0, 1, 9], [4, 4, 3, 2, 1], [2**32 - 1] * 4 + [2**32 - 2, 0]):
+        got = wrappers._up_to_three(len(marks), min(marks), max(marks), sum(marks), sum(m * m for m in marks))
+        assert got == min(3, len(set(marks)))
+
+
 def test_alignment():
     a = wrappers.infer("<body><nav><ul><li>1<li>2</ul></nav><div class=c><p>x<p>y</div></body>")
     b = wrappers.infer("<body><div class=ad>z</div><div class=c><p>x<table><tr><td>1</table></div></body>")
