@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from plumbline.operators.curves import collapse
 from plumbline.plans.prefix import running_totals
 
 N_BOOT, SEED, LEVEL = 1000, 17, 0.95
@@ -121,6 +122,18 @@ def poisson_auroc_ci(rows: DataFrame, key: str, n_boot: int = 50, seed: int = SE
     return _interval(s, "auroc", [], level)
 
 
+def auroc_ci(rows: DataFrame, key: str, level: float = LEVEL, n_boot: int = N_BOOT, seed: int = SEED, most: int = EXACT_ROWS) -> DataFrame:
+    """(value, lo, hi, n_boot_used, refusal) of (score, y) at any size: T1 in the order of ``key`` up
+    to ``most`` rows, beyond that the value from counts at each distinct score and T3 by ``key``."""
+    if rows.limit(most + 1).count() <= most:
+        return exact_ci(rows, area, key, level, n_boot, seed, most)
+    up = running_totals(collapse(rows), "score", ["neg"])
+    won = F.sum(F.col("pos") * (F.col("neg_upto") - F.col("neg") / 2))
+    point = up.agg(F.try_divide(won, F.sum("neg").cast("double") * F.sum("pos").cast("double")).alias("value"))
+    ends = poisson_auroc_ci(rows, key, n_boot, seed, level)
+    return point.crossJoin(ends).select("value", "lo", "hi", F.col("n_boot").cast("int").alias("n_boot_used"), F.lit(None).cast("string").alias("refusal"))
+
+
 def poisson_ks_ci(reference: DataFrame, candidate: DataFrame, key: str, n_boot: int = 50, seed: int = SEED, level: float = LEVEL) -> DataFrame:
     """(n_boot, lo, hi), T3: the largest gap of both distribution functions in each replicate."""
     w = _both_weighted(reference, candidate, key, n_boot, seed)

@@ -144,7 +144,7 @@ QUERIES = {
     "quantile_shift": lambda s, d: shift.quantile_shift(*populations(s, d)),
     "placements": lambda s, d: shift.placements(*populations(s, d)).select("doc_id", "score", "percentile_ref", "conformal_p", short_text("n_words").alias("short_text")),
     "strata_novelty": lambda s, d: shift.strata_novelty(*populations(s, d), axes()),
-    "auroc_ci": lambda s, d: resample.exact_ci(scored(s, d), resample.area, "doc_id", n_boot=200),
+    "auroc_ci": lambda s, d: resample.auroc_ci(scored(s, d), "doc_id", n_boot=200),
     "rate_ci": lambda s, d: resample.proportion_ci(scored(s, d).select("lang", (F.col("score") >= 6.0).alias("flag")), "flag", ["lang"]),
     "rate_ci_md5": lambda s, d: resample.poisson_rate_ci(scored(s, d).select("doc_id", (F.col("score") >= 6.0).alias("flag")), "flag", "doc_id"),
     "auroc_ci_md5": lambda s, d: resample.poisson_auroc_ci(scored(s, d), "doc_id", n_boot=20),

@@ -166,6 +166,16 @@ def test_intervals_bracket_the_value(spark, sf):
     assert resample.exact_ci(s, resample.area, "doc_id", most=10).first().refusal
 
 
+def test_auroc_interval_has_no_size_limit(spark, sf):
+    from plumbline.plans.tables import scored
+
+    s = scored(spark, sf)
+    exact, small, large = (x.first() for x in (resample.exact_ci(s, resample.area, "doc_id", n_boot=100), resample.auroc_ci(s, "doc_id", n_boot=100), resample.auroc_ci(s, "doc_id", n_boot=100, most=10)))
+    assert small == exact and large.refusal is None and large.n_boot_used == 100
+    assert abs(large.value - exact.value) < 1e-12 and large.lo < large.value < large.hi
+    assert abs(large.lo - exact.lo) < 0.05 and abs(large.hi - exact.hi) < 0.05
+
+
 def test_running_totals(spark):
     from plumbline.plans.prefix import running_totals
 
