@@ -58,28 +58,46 @@ class Node:
 
 
 def _key(tag: str, attributes: str) -> str:
-    """Tag and the letters of class, id, role and itemprop: what a template, not a page, chose."""
+    """Tag and the letters of class, id, role and itemprop: what a template, not a page, chose. Of
+    more than eight words, later ones stay if they tell what an element is."""
     if not attributes or "=" not in attributes:
         return tag
     words = []
     for name, value in _ATTR.findall(attributes):
         words += ["hidden"] if name.lower() == "hidden" else _NAME.findall(value.lower())
-    return ".".join([tag, *dict.fromkeys(words)][:9])
+    words = list(dict.fromkeys(words))
+    return ".".join([tag, *words[:8], *(w for w in words[8:] if w in _OFF_WORDS or w in _MAIN_WORDS)])
 
 
 def parse(page: str) -> Node:
-    """The tree of block elements; a text is a child (text, length of its link text)."""
+    """The tree of block elements; a text is a child (text, length of its link text). Elements below
+    the greatest depth that have text lie beside each other there, and what is in one that isn't the
+    article's lies in it."""
     root = Node("html")
     stack, texts, link, linked, at = [("html", root)], [], 0, 0, 0
+    opened: dict[str, int] = {}
 
     def flush():
         nonlocal linked
         text = " ".join(html.unescape("".join(texts)).split())
         if text:
-            stack[-1][1].children.append((text, min(linked, len(text))))
+            tag, node = stack[-1]
+            if len(stack) > _DEPTH:
+                beside = stack[_DEPTH - 1][1].children
+                if not beside or beside[-1] is not node:
+                    if node.children:
+                        node = Node(node.key)
+                        stack[-1] = tag, node
+                    beside.append(node)
+            node.children.append((text, min(linked, len(text))))
         texts.clear()
         linked = 0
 
+    def cut(k):
+        for tag, _ in stack[k:]:
+            opened[tag] -= 1
+        del stack[k:]
+
     for m in _TOKEN.finditer(page):
         if m.start() > at:
             texts.append(page[at : m.start()])
@@ -101,28 +119,32 @@ def parse(page: str) -> Node:
         if tag == "html" or tag == "body":
             continue
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if opened.get(tag) else ():
                 if stack[k][0] == tag:
-                    del stack[k:]
+                    cut(k)
                     break
             continue
         if tag in _NO_P and stack[-1][0] == "p":
-            stack.pop()
-        if tag in _ENDS:
+            cut(-1)
+        if tag in _ENDS and any(opened.get(t) for t in _ENDS[tag][0]):
             closes, stops = _ENDS[tag]
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] in closes:
-                    del stack[k:]
+                    cut(k)
                     break
                 if stack[k][0] in stops:
                     break
         if tag == "main" or tag == "article" or (tag == "div" and stack[-1][0] == "head"):
             while len(stack) > 1 and stack[-1][0] == "head":
-                stack.pop()
-        if len(stack) < _DEPTH and tag not in _VOID:
+                cut(-1)
+        if tag not in _VOID:
             node = Node(_key(tag, m.group(4)))
-            stack[-1][1].children.append(node)
+            if len(stack) < _DEPTH:
+                stack[-1][1].children.append(node)
+            elif len(stack) > _DEPTH and _off((stack[-1][1].key,)):
+                node = Node(stack[-1][1].key)
             stack.append((tag, node))
+            opened[tag] = opened.get(tag, 0) + 1
     texts.append(page[at:])
     flush()
     return root

@@ -76,6 +76,21 @@ def test_distinct_marks_up_to_three():
         assert got == min(3, len(set(marks)))
 
 
+def test_late_words_of_a_class_count():
+    many = "flex grow shrink wide tall round dark light bold"
+    assert wrappers._off((wrappers._key("div", f" class='{many} sidebar'"),))
+    assert wrappers._key("div", f" class='{many} other content'") == "div.flex.grow.shrink.wide.tall.round.dark.light.content"
+
+
+def test_what_is_nested_too_deep_keeps_its_tags():
+    deep = "<div>" * 150
+    page = f"<article>{deep}<nav>Menu</nav><p>text</p><aside><p>Advert</aside>{'</div>' * 150}<h2>after</h2></article><p>outside"
+    found = wrappers.read(wrappers.parse(page), wrappers.infer(page))
+    got = {words: known for _, (words, _), known in found}
+    assert got["after"] == ("article", "h2") and got["outside"] == ("p",)
+    assert wrappers._off(got["Menu"]) and wrappers._off(got["Advert"]) and not wrappers._off(got["text"])
+
+
 def test_alignment():
     a = wrappers.infer("<body><nav><ul><li>1<li>2</ul></nav><div class=c><p>x<p>y</div></body>")
     b = wrappers.infer("<body><div class=ad>z</div><div class=c><p>x<table><tr><td>1</table></div></body>")
