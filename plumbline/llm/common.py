@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: Rows an Arrow batch may hold: texts can be very long, so batches are kept short.
 BATCH_ROWS = 1000
 
 
+def utf8(text_col: str = "text") -> Column:
+    """UTF-8 of the whole text, null read as empty."""
+    return F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
+
+
 def raw_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id long, raw binary): UTF-8 of whole texts, null read as empty. Other columns are left
     behind, so extra columns of any name can't clash."""
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
-        F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("raw"),
+        utf8(text_col).alias("raw"),
     )
 
 

@@ -124,26 +124,27 @@ _ONE_WORD = re.compile(rf"(?<![A-Za-zÀ-ÿ])(plus\s+)?({_WORDS})?(?(2)([ ,\-]+(?
 _AT = rf"(?:\s*[\[({{<]\s*(?:{_AT_WORD}|@)\s*[\])}}>]\s*|\s+(?:{_AT_WORD})\s+|\s+@\s*|\s*@\s+)"
 _DOT = rf"(?:\s*[\[({{<]\s*(?:{_DOT_WORD}|\.)\s*[\])}}>]\s*|\s+(?:{_DOT_WORD})\s+)"
 _PART = r"[A-Za-z0-9-]+"
-_LOCALS = r"[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*"
-#: Spoken dots are counted, so that a long chain of them is no quadratic search: at most four in a
-#: local part, six in a host.
-_LOCALS = rf"{_LOCALS}(?:{_DOT}{_LOCALS}){{0,4}}"
-_HOST = rf"{_PART}(?:\.{_PART})*(?:{_DOT}{_PART}(?:\.{_PART})*){{1,6}}"
+_LOCALS = r"(?:(?!%40)[A-Za-z0-9_%+-])+(?:\.(?:(?!%40)[A-Za-z0-9_%+-])+)*"
 _BEFORE = r"(?<![A-Za-z0-9._%+-])"
-#: A disguised address. Its "at" is bracketed or spaced. A spoken "at" needs a disguised dot after
-#: it, or a local part that no word has, since "at" followed by a full stop or a site's name is prose.
-_DISGUISED = re.compile(
-    rf"{_BEFORE}(?P<local>{_LOCALS})(?:"
+#: A local part: parts between plain or spoken dots, however many, taken whole and never tried again
+#: from within, so that a chain of any length is read once.
+_CHAIN = re.compile(rf"(?:{_BEFORE}|(?<=%40)){_LOCALS}(?:{_DOT}{_LOCALS})*+", re.I)
+_HOST = rf"{_PART}(?:\.{_PART})*(?:{_DOT}{_PART}(?:\.{_PART})*)++"
+#: What makes a local part a disguised address. Its "at" is bracketed or spaced. A spoken "at" needs a
+#: disguised dot after it, or a local part that no word has, since "at" followed by a full stop or a
+#: site's name is prose.
+_AT_HOST = re.compile(
     rf"(?P<at>{_AT})(?P<host>{_HOST})"
     rf"|(?P<at2>\s*[\[({{<]\s*(?:{_AT_WORD}|@)\s*[\])}}>]\s*)(?P<host2>{_PART}(?:\.{_PART})+)"
     rf"|(?P<at3>@)(?P<host3>{_HOST})"
-    rf"|(?<=[A-Za-z0-9])(?P<at4>%40|&#0*64;|&#x0*40;|&commat;)(?P<host4>{_PART}(?:\.{_PART})+))",
+    rf"|(?<=[A-Za-z0-9])(?P<at4>%40|&#0*64;|&#x0*40;|&commat;)(?P<host4>{_PART}(?:\.{_PART})+)",
     re.I,
 )
 _PLAIN_HOST = re.compile(rf"{_BEFORE}(?P<local>(?=[A-Za-z]+[._+0-9])[A-Za-z0-9._%+-]*[A-Za-z0-9])(?P<at>\s+(?:{_AT_WORD})\s+)(?P<host>[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.(?-i:[a-z]{{2,}}))", re.I)
 _DOTS = re.compile(_DOT, re.I)
 #: An address whose signs are words between underscores or hyphens.
-_JOINED = re.compile(r"(?<![A-Za-z0-9.+])[A-Za-z0-9.+]+(?:([_-])dot\1[A-Za-z0-9.+]+){0,4}([_-])at\2[A-Za-z0-9]+(?:([_-])dot\3[A-Za-z0-9]+){1,6}", re.I)
+_JOINED_CHAIN = re.compile(r"(?<![A-Za-z0-9.+])[A-Za-z0-9.+]++(?:([_-])dot\1[A-Za-z0-9.+]+)*+", re.I)
+_JOINED_HOST = re.compile(r"([_-])at\1[A-Za-z0-9]+(?:([_-])dot\2[A-Za-z0-9]+)++", re.I)
 _JOINT = re.compile(r"([_-])(?:(at)|dot)\1", re.I)
 _AT_HINT = re.compile(rf"[\[({{<]\s*(?:{_AT_WORD}|@|{_DOT_WORD}|\.)\s*[\])}}>]|\s(?:{_DOT_WORD})\s|[_-](?:at|dot)[_-]|(?:[0-9]|[._+][a-z0-9]+)\s+(?:{_AT_WORD})\s")
 _IP_DISGUISED = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:(?:{_DOT}|\.)[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
@@ -214,15 +215,26 @@ def _spelled_digits(tape: Tape, within=lambda a, b: False) -> Tape:
     return tape.rewrite(edits) if edits else tape
 
 
+def _chained(text: str, chain: re.Pattern, rest: re.Pattern):
+    """(start of the chain, match of ``rest`` right after it), one after another. A chain that nothing
+    follows is left behind whole."""
+    at = 0
+    while m := chain.search(text, at):
+        r = rest.match(text, m.end())
+        if r:
+            yield m.start(), r
+        at = (r or m).end()
+
+
 def _addresses(tape: Tape) -> Tape:
     edits = []
-    for m in _DISGUISED.finditer(tape.text):
+    for start, m in _chained(tape.text, _CHAIN, _AT_HOST):
         k = next(k for k in ("", "2", "3", "4") if m.group("at" + k) is not None)
-        for a, b in (m.span("local"), m.span("host" + k)):
+        for a, b in ((start, m.start()), m.span("host" + k)):
             edits += [(d.start(), d.end(), ".") for d in _DOTS.finditer(tape.text, a, b)]
         edits.append((*m.span("at" + k), "@"))
     edits += [(*m.span("at"), "@") for m in _PLAIN_HOST.finditer(tape.text)]
-    edits += [(*j.span(), "@" if j.group(2) else ".") for m in _JOINED.finditer(tape.text) for j in _JOINT.finditer(tape.text, *m.span())]
+    edits += [(*j.span(), "@" if j.group(2) else ".") for start, m in _chained(tape.text, _JOINED_CHAIN, _JOINED_HOST) for j in _JOINT.finditer(tape.text, start, m.end())]
     for m in _IP_DISGUISED.finditer(tape.text):
         edits += [(d.start(), d.end(), ".") for d in _DOTS.finditer(tape.text, *m.span())]
     kept, last = [], 0

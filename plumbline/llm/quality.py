@@ -4,28 +4,29 @@ A document is a bag of passages of equal length; every passage of the whole text
 hidden layer, a gated attention (tanh times sigmoid) and a logistic output are learned from
 document labels alone; a document's score is that of its attention-weighted passage
 representation. Fitting uses a bounded sample of labelled rows (``TRAIN_ROWS`` documents, the
-smallest under a hash of the identifier, ``TRAIN_PASSAGES`` passages each, spread over the text);
-scoring reads every passage of every document.
+smallest under a hash of the identifier) and every passage of each; scoring reads every passage of
+every document.
 """
 
 from __future__ import annotations
 
-import io
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from plumbline.llm.common import id_hash, raw_texts, short_batches
+from plumbline.llm.common import id_hash, raw_texts, short_batches, utf8
 
 PASSAGE_BYTES = 1024
 TRAIN_ROWS = 4000
-TRAIN_PASSAGES = 24
 THRESHOLD = 0.7
 HIDDEN, GATE, STEPS = 24, 12, 160
 FEATURES = 260
 _BLOCK = 2 << 20
+#: Passages weighed at once, in whole documents.
+_AT_ONCE = 4096
 
 
 def encode_passages(raw: bytes) -> np.ndarray:
@@ -87,21 +88,30 @@ class GatedAttention:
     def scores(self, x: np.ndarray, first: np.ndarray) -> np.ndarray:
         return self._forward((x - self.mean) / self.scale, first)[5]
 
-    def fit(self, x, first, y, steps: int = STEPS, rate: float = 0.02, decay: float = 1e-4) -> GatedAttention:
+    def _gradient(self, x, first, y, n: int) -> dict[str, np.ndarray]:
+        """The loss's gradient over some of n documents."""
+        p = self.p
         x = (x - self.mean) / self.scale
+        h, t, s, a, z, score, many = self._forward(x, first)
+        do = (score - y) / n
+        dz = np.repeat(do[:, None] * p["c"], many, axis=0)
+        dh, da = a[:, None] * dz, (h * dz).sum(1)
+        de = a * (da - np.repeat(np.add.reduceat(a * da, first), many))
+        dg = de[:, None] * p["w"]
+        dt, ds = dg * s * (1 - t * t), dg * t * s * (1 - s)
+        dh = (dh + dt @ p["V"].T + ds @ p["U"].T) * (1 - h * h)
+        return {"W": x.T @ dh, "b": dh.sum(0), "V": h.T @ dt, "U": h.T @ ds, "w": (t * s).T @ de, "c": z.T @ do, "d": np.array([do.sum()])}
+
+    def fit(self, x, first, y, steps: int = STEPS, rate: float = 0.02, decay: float = 1e-4) -> GatedAttention:
+        """Full gradient steps; a step's passages are weighed a few documents at a time."""
+        parts = [(x[first[i] : first[j] if j < len(y) else len(x)], first[i:j] - first[i], y[i:j]) for i, j in _together(first, len(x))]
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         q = {k: np.zeros_like(v) for k, v in self.p.items()}
         for step in range(1, steps + 1):
-            p = self.p
-            h, t, s, a, z, score, many = self._forward(x, first)
-            do = (score - y) / len(y)
-            dz = np.repeat(do[:, None] * p["c"], many, axis=0)
-            dh, da = a[:, None] * dz, (h * dz).sum(1)
-            de = a * (da - np.repeat(np.add.reduceat(a * da, first), many))
-            dg = de[:, None] * p["w"]
-            dt, ds = dg * s * (1 - t * t), dg * t * s * (1 - s)
-            dh = (dh + dt @ p["V"].T + ds @ p["U"].T) * (1 - h * h)
-            grad = {"W": x.T @ dh, "b": dh.sum(0), "V": h.T @ dt, "U": h.T @ ds, "w": (t * s).T @ de, "c": z.T @ do, "d": np.array([do.sum()])}
+            p, grad = self.p, {k: np.zeros_like(v) for k, v in self.p.items()}
+            for part in parts:
+                for k, g in self._gradient(*part, len(y)).items():
+                    grad[k] += g
             for k, g in grad.items():
                 g = g + decay * p[k]
                 m[k] = 0.9 * m[k] + 0.1 * g
@@ -110,16 +120,20 @@ class GatedAttention:
         return self
 
 
+def _together(first: np.ndarray, passages: int) -> list[tuple[int, int]]:
+    """Ranges of documents of about ``_AT_ONCE`` passages; a longer document is a range of its own."""
+    out, at = [], 0
+    ends = [*first[1:].tolist(), passages]
+    for k, end in enumerate(ends):
+        if end - first[at] >= _AT_ONCE or k == len(ends) - 1:
+            out.append((at, k + 1))
+            at = k + 1
+    return out
+
+
 def _training_bags(batches):
     for batch in batches:
-        bags = []
-        for v in batch.column(1):
-            x = encode_passages(v.as_py())
-            if len(x) > TRAIN_PASSAGES:
-                x = x[np.linspace(0, len(x) - 1, TRAIN_PASSAGES).astype(int)]
-            buffer = io.BytesIO()
-            np.save(buffer, x.astype(np.float16))
-            bags.append(buffer.getvalue())
+        bags = [encode_passages(v.as_py()).astype(np.float16).tobytes() for v in batch.column(1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(bags, pa.binary())], ["doc_id", "y", "bag"])
 
 
@@ -141,33 +155,43 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     y = np.array([max(r.y, 0) for r in rows], float)
     if not len(rows) or y.min() == y.max():
         return float(y[0]) if len(rows) else 1.0
-    each = [np.load(io.BytesIO(r.bag)).astype(np.float64) for r in rows]
+    each = [np.frombuffer(r.bag, np.float16).reshape(-1, FEATURES) for r in rows]
     x = np.concatenate(each)
     first = np.concatenate(([0], np.cumsum([len(b) for b in each])[:-1]))
-    mean, scale = x.mean(0), x.std(0) + 0.02
+    total, square = np.zeros(FEATURES), np.zeros(FEATURES)
+    for i, j in _together(first, len(x)):
+        part = x[first[i] : first[j] if j < len(first) else len(x)].astype(np.float64)
+        total += part.sum(0)
+        square += (part * part).sum(0)
+    mean = total / len(x)
+    scale = np.sqrt(np.maximum(square / len(x) - mean * mean, 0)) + 0.02
     return GatedAttention.fresh(mean, scale).fit(x, first, y)
 
 
-def _scorer(model):
+def _scoring(model):
+    """Arrow column of UTF-8 texts to their scores, batch by batch, as a column function."""
     if isinstance(model, GatedAttention):
         model = GatedAttention({k: v.astype(np.float32) for k, v in model.p.items()}, model.mean.astype(np.float32), model.scale.astype(np.float32))
 
-    def run(batches):
-        for batch in batches:
-            if not isinstance(model, GatedAttention):
-                scores = np.full(batch.num_rows, model, float)
-            else:
-                scores, bags, held, at = np.empty(batch.num_rows), [], 0, 0
-                for k, v in enumerate(batch.column(1)):
-                    bags.append(encode_passages(v.as_py()))
-                    held += len(bags[-1])
-                    if held > 4096 or k == batch.num_rows - 1:
-                        first = np.concatenate(([0], np.cumsum([len(b) for b in bags])[:-1]))
-                        scores[at : k + 1] = model.scores(np.concatenate(bags), first)
-                        bags, held, at = [], 0, k + 1
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.clip(scores.astype(float), 0, 1))], ["doc_id", "score"])
+    def scores(texts: pa.Array) -> np.ndarray:
+        if not isinstance(model, GatedAttention):
+            return np.full(len(texts), model, float)
+        out, bags, held, at = np.empty(len(texts)), [], 0, 0
+        for k, v in enumerate(texts):
+            bags.append(encode_passages(v.as_py()))
+            held += len(bags[-1])
+            if held > _AT_ONCE or k == len(texts) - 1:
+                first = np.concatenate(([0], np.cumsum([len(b) for b in bags])[:-1]))
+                out[at : k + 1] = model.scores(np.concatenate(bags), first)
+                bags, held, at = [], 0, k + 1
+        return np.clip(out, 0, 1)
+
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array(scores(texts), pa.float64())
 
-    return run
+    return score
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
@@ -176,7 +200,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     identifier counts as not held out."""
     short_batches(docs.sparkSession)
     model = fit_quality(docs, labels, id_col, text_col, label_col)
-    scored = raw_texts(docs, id_col, text_col).mapInArrow(_scorer(model), "doc_id long, score double")
+    scored = raw_texts(docs, id_col, text_col).select("doc_id", _scoring(model)("raw").alias("score"))
     return scored.select(
         "doc_id",
         F.coalesce(id_hash("doc_id", 4) == 2, F.lit(False)).alias("held_out"),
@@ -186,17 +210,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that score at least ``threshold``."""
+    """The rows of ``docs``, all columns, that score at least ``threshold``: a row is judged by its
+    own text, whatever other rows have its identifier. Only the text goes to Python, and only its
+    score comes back."""
     short_batches(docs.sparkSession)
     model = fit_quality(docs, labels, id_col, text_col)
-    score = _scorer(model)
-    at = docs.columns.index(text_col)
-
-    def run(batches):
-        for batch in batches:
-            texts = [b"" if v.as_py() is None else v.as_py().encode() for v in batch.column(at)]
-            asked = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.binary())], ["doc_id", "raw"])
-            kept = next(score([asked])).column(1).to_numpy() >= threshold
-            yield batch.filter(pa.array(kept))
-
-    return docs.mapInArrow(run, docs.schema)
+    return docs.filter(_scoring(model)(utf8(text_col)) >= threshold)

@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from plumbline.llm.common import raw_texts, short_batches
+from plumbline.llm.common import raw_texts, short_batches, utf8
 from plumbline.llm.components import smallest_reachable
 from plumbline.plans.shared import materialize
 
@@ -31,6 +31,7 @@ MIN_GROUPS = 8
 TILE = 256
 _ROWS, _COLUMNS = 16, 4096
 _CHUNK = 1 << 15
+_GONE_ID, _GONE_TEXT = "_plumbline_gone_id", "_plumbline_gone_text"
 #: The bits of each byte value, lowest first.
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -64,13 +65,15 @@ def fingerprint(raw: bytes, words_each: int = SHINGLE_WORDS, seed: int = SEED) -
 def _fingerprints(batches):
     for batch in batches:
         fp = np.fromiter((fingerprint(x) for x in (v.as_py() for v in batch.column(1))), np.uint64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64)), batch.column(2)], ["doc_id", "fp", "same"])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id long, fp long): a row for each row of ``docs``, fp the signed view of the 64 bits."""
+    """(doc_id long, fp long, same long): a row for each row of ``docs``, fp the signed view of the
+    64 bits, same a hash of the text that tells apart rows with one identifier."""
     short_batches(docs.sparkSession)
-    return raw_texts(docs, id_col, text_col).mapInArrow(_fingerprints, "doc_id long, fp long")
+    raws = raw_texts(docs, id_col, text_col).withColumn("same", F.xxhash64("raw"))
+    return raws.mapInArrow(_fingerprints, "doc_id long, fp long, same long")
 
 
 class Forest:
@@ -222,6 +225,12 @@ def components(fps: DataFrame, radius: int = RADIUS, group_rows: int = GROUP_ROW
     return materialize(named, "simhash-components")
 
 
+def _linked(docs: DataFrame, id_col: str, text_col: str, radius: int) -> DataFrame:
+    """(doc_id, fp, same, component_id) of every row."""
+    fps = materialize(fingerprints(docs, id_col, text_col), "simhash-fp")
+    return fps.join(components(fps, radius), "fp", "left")
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``docs``.
 
@@ -230,15 +239,17 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     or linked fingerprints that have an identifier, null if there is none. An empty table gives
     an empty table.
     """
-    fps = materialize(fingerprints(docs, id_col, text_col), "simhash-fp")
-    return fps.join(components(fps, radius), "fp", "left").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    return _linked(docs, id_col, text_col, radius).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """One row of each group of near copies: the one with the smallest identifier (rows that repeat
-    an identifier are kept together). Rows without an identifier that have no group are kept."""
-    marked = simhash_components(docs, id_col, text_col, radius)
-    gone = marked.filter("component_id is not null and doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    """One document of each group of near copies: the one with the smallest identifier.
+
+    A row goes if its own text is a near copy of a document with a smaller identifier, whatever
+    other rows have its identifier. Rows without an identifier go if their group has a document
+    with one and stay if it has none. Rows of a group that all have its smallest identifier
+    are one document and stay together."""
+    marked = _linked(docs, id_col, text_col, radius)
+    gone = marked.filter("component_id is not null and not (doc_id <=> component_id)").select(F.col("doc_id").alias(_GONE_ID), F.col("same").alias(_GONE_TEXT)).distinct()
+    here = F.col(id_col).cast("long").eqNullSafe(F.col(_GONE_ID)) & (F.xxhash64(utf8(text_col)) == F.col(_GONE_TEXT))
+    return docs.join(gone, here, "left_anti")

@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from plumbline.llm import ngrams, packing, pieces, pii, quality, simhash, telephony, wordids
 from plumbline.llm.registry import vocabulary
@@ -508,3 +509,84 @@ def test_one_walk_equals_all_walks_and_states_sum_to_one():
 def test_planes():
     x = np.array([0, 1, 300, 1 << 40], np.uint64)
     assert ngrams.unplanes(ngrams.planes(x), np.uint64).tolist() == x.tolist()
+
+
+@pytest.mark.parametrize(
+    "span",
+    ["a dot b dot c dot d dot e dot f (at) example dot com", "x at a dot b dot c dot d dot e dot f dot g dot h dot org", " dot ".join("abcdefghij" * 30) + " at " + " dot ".join("abcdefghij" * 30), "a_dot_b_dot_c_dot_d_dot_e_dot_f_dot_g_at_a_dot_b_dot_c_dot_d_dot_e_dot_f_dot_g_dot_h", "x%40y%40example.com"],
+)
+def test_pii_disguises_of_any_length(span):
+    """However many spoken dots an address has, it is found from its first part to its last."""
+    text = f"write {span}, ok"
+    assert pii.mask(text, pii.all_spans(text)[1]) in ("write [EMAIL], ok", "write x%40[EMAIL], ok")
+
+
+def test_near_copies_go_by_row(spark):
+    """A row is judged by its own text, not by what else has its identifier."""
+    words = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, words), (3, "a text of its own that nothing else is like at all"), (3, words), (None, words), (None, "quite another one without any identifier"), (4, words + " w"), (5, None), (6, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS fp", "2 AS same")
+    kept = simhash.drop_near_duplicates(df)
+    assert kept.columns == df.columns
+    got = {(r.doc_id, r.text) for r in kept.collect()}
+    near = bin(brute_fingerprint(words) ^ brute_fingerprint(words + " w")).count("1") <= 4
+    assert got == {(1, words), (3, rows[1][1]), (None, rows[4][1]), (5, None)} | (set() if near else {(4, words + " w")})
+
+
+def test_good_rows_are_kept_by_their_own_text(spark):
+    d = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    one = docs.withColumn("doc_id", F.lit(1).cast("long"))
+    want = Counter(r.text for r in docs.join(quality.score_quality(docs, labels).filter("predicted = 1"), "doc_id").collect())
+    model = quality.fit_quality(docs, labels)
+    score = quality._scoring(model)
+    assert Counter(r.text for r in one.filter(score(quality.utf8("text")) >= 0.7).collect()) == want and sum(want.values()) < docs.count()
+
+
+def brute_quality(model, raw):
+    """One text's score by loops over passages, from the model's numbers."""
+    p, h, e = model.p, [], []
+    for at in range(0, max(len(raw), 1), 1024):
+        part = raw[at : at + 1024]
+        x = np.zeros(quality.FEATURES)
+        words = part.lower().split()
+        if part:
+            for b in range(256):
+                x[b] = math.sqrt(part.count(bytes([b])) / len(part))
+            x[256] = len(zlib.compress(part, 1)) / (len(part) + 24)
+            x[257] = 8 * len(words) / len(part)
+            x[258] = sum(a == b for a, b in zip(words, words[1:])) / max(1, len(words))
+            x[259] = len(part) / 1024
+        x = (x - model.mean) / model.scale
+        v = np.tanh(x @ p["W"] + p["b"])
+        h.append(v)
+        e.append(float((np.tanh(v @ p["V"]) / (1 + np.exp(-(v @ p["U"])))) @ p["w"]))
+    a = [math.exp(x - max(e)) for x in e]
+    z = sum(x * v for x, v in zip(a, h)) / sum(a)
+    return 1 / (1 + math.exp(-float(z @ p["c"] + p["d"][0])))
+
+
+def test_quality_against_brute_force(spark, docs, texts, sf):
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.fit_quality(docs, labels)
+    long = "lorem ipsum " * 30_000
+    more = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(-5, long), (-6, None), (-7, "")], "doc_id long, text string"))
+    want = {i: brute_quality(model, (t or "").encode()) for i, t in {**texts, -5: long, -6: None, -7: ""}.items()}
+    score = quality._scoring(model)
+    for r in more.select("doc_id", score(quality.utf8("text")).alias("score")).collect():
+        assert r.score == pytest.approx(want[r.doc_id], abs=1e-3)
+
+
+def test_every_passage_is_learnt_from(spark):
+    """One odd passage among two hundred decides the label; a sample of passages would miss it."""
+    g = random.Random(0)
+    word = lambda: "".join(g.choice("abcdefghij") for _ in range(7))
+    rows = []
+    for k in range(60):
+        parts = [" ".join(word() for _ in range(128))[:1024] for _ in range(200)]
+        if k % 2:
+            parts[g.randrange(200)] = "#@!" * 341 + " "
+        rows.append((k, "".join(parts), 1 - k % 2))
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    got = quality.score_quality(df.drop("quality"), df.select("doc_id", "quality")).join(df.select("doc_id", "quality"), "doc_id").collect()
+    assert np.mean([(r.score > 0.5) == (r.quality == 1) for r in got if not r.held_out]) > 0.95
