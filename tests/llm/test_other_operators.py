@@ -135,8 +135,19 @@ def brute_nearest(rows, k=5):
     return out
 
 
-@pytest.mark.parametrize("table", ["/root/testdata/sf0.1", "/root/testdata/check_s"])
-def test_recall(spark, table):
+def moved_vectors(spark, path, copies=4):
+    """A larger table: every vector of the test table, and ``copies`` of each moved at random."""
+    g = np.random.default_rng(3)
+    rows = [(r.vec_id, np.array(r.embedding)) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()]
+    rows += [(i + 100_000 * k, v + g.normal(0, 0.6 * v.std(), len(v))) for k in range(1, copies + 1) for i, v in rows]
+    spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<float>").write.parquet(path)
+
+
+@pytest.mark.parametrize("table", ["/root/testdata/sf0.1", "moved"])
+def test_recall(spark, table, tmp_path):
+    if table == "moved":
+        table = str(tmp_path)
+        moved_vectors(spark, f"{table}/embeddings.parquet")
     v = spark.read.parquet(f"{table}/embeddings.parquet")
     want = brute_nearest([(r.vec_id, r.embedding) for r in v.collect()])
     got = {}
@@ -168,6 +179,20 @@ def test_copies_of_one_vector_go_by_identifier(spark):
     assert [r.vec_id for r in got] == [0, 1, 2, 3, 4]
 
 
+def test_lengths_precision_and_repeated_identifiers(spark):
+    """Each length is searched by itself, other vectors of an identifier are rows, doubles stay doubles."""
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 1e-9]), (1, [0.0, 1.0]), (2, [1.0, 1e-9 * (1 + 1e-6)]), (50, [1.0, 2.0, 3.0]), (3, [3.0, 2.0, 1.0]), (100, [7.0]), (50, [0.5, 1.0])]
+    got = [tuple(r) for r in additive.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()]
+    want = []
+    for q, v in rows:
+        near = [(i, float(np.dot(v, w) / np.sqrt(np.dot(v, v) * np.dot(w, w)))) for i, w in rows if len(w) == len(v) and (i, w) != (q, v)]
+        if q % 50 == 0:
+            want += [(q, n + 1, i, s) for n, (i, s) in enumerate(sorted(near, key=lambda x: (-x[1], x[0])))]
+    assert len(got) == len(want) == 9
+    for a, b in zip(sorted(got), sorted(want)):
+        assert a[:3] == b[:3] and abs(a[3] - b[3]) < 1e-15
+
+
 # -- 9 ---------------------------------------------------------------------------------------------
 
 
