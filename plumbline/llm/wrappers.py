@@ -6,9 +6,10 @@ slots. Wrappers of one host are then aligned with one another again and again; w
 has becomes an optional group, what repeats a repeated group, so the result is a regular
 expression without unions. Only distinct wrappers are aligned, in groups of bounded size that are
 merged in rounds, so a host's page count doesn't matter. Slot statistics over all pages (text,
-link text, whether a slot's text ever changes) and the tags around a slot then tell the article's
-slots from menus, notices and other template parts, and every page is read through its host's
-wrapper. A host may have several layouts: a page takes the best of the host's article regions that
+link text, whether a slot's text ever changes) then tell the article's slots from menus, notices and
+other template parts, and every page is read through its host's wrapper. What an element is called
+is weak evidence: an element named like a side part stands all the same if it holds at least as much
+plain text as what lies beside it, or four times as much where the name is its main word. A host may have several layouts: a page takes the best of the host's article regions that
 it has.
 """
 
@@ -18,10 +19,12 @@ import html
 import json
 import re
 import zlib
+from bisect import bisect_left
 from decimal import Decimal
 from functools import lru_cache
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from plumbline.llm.common import short_batches
@@ -43,7 +46,10 @@ _VOID = frozenset("hr br img input meta link area base col embed source track wb
 _NO_P = frozenset("main article section nav aside header footer div p h1 h2 h3 h4 h5 h6 ul ol dl table form fieldset blockquote pre figure address details hr center menu".split())
 _ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"tbody", "thead", "tr", "td", "th"}, {"table"}), "option": ({"option"}, {"select"})}
 _NAME = re.compile(r"[a-z]+")
-_OFF_TAGS = frozenset("head nav footer aside form fieldset legend button label option dialog menu address".split())
+_OFF_TAGS = frozenset("footer aside form address".split())
+#: Whatever their size, no article.
+_NEVER_TAGS = frozenset("head nav menu fieldset legend button label option dialog".split())
+_NEVER_WORDS = frozenset("comments commentlist respond replies disqus cookie cookies consent gdpr newsletter advertisement advertising adverts".split())
 _OFF_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promoted promotion banner menu nav navbar navigation sidebar side rail footer foot header masthead topbar cookie cookies consent gdpr notice notices alert popup modal overlay subscribe subscription newsletter signup login social share sharing related recommended recommendations more teaser comment comments commentlist respond replies disqus breadcrumb breadcrumbs pagination pager pages widget search copyright legal disclaimer toolbar tags skip hidden contentinfo complementary dialog author byline meta paywall".split()
 )
@@ -207,27 +213,43 @@ def _optional(item: list) -> list:
     return [item[0], "*" if item[1] in "+*" else "?", *item[2:]]
 
 
+def _common(left: list[str], right: list[str]) -> list[tuple[int, int]]:
+    """Index pairs of a longest common subsequence. A row of the table is one whole number, a bit for
+    each entry of ``right`` (zero: the entry adds to the length so far), so long streams cost little."""
+    where: dict[str, int] = {}
+    for k, name in enumerate(right):
+        where[name] = where.get(name, 0) | 1 << k
+    full = (1 << len(right)) - 1
+    row, rows = full, []
+    for name in left:
+        hit = row & where.get(name, 0)
+        row = (row + hit | row - hit) & full
+        rows.append(row)
+    out, i, j = [], len(left), len(right)
+    while i and j:
+        if rows[i - 1] >> (j - 1) & 1:
+            j -= 1
+        else:
+            i -= 1
+            if not i or rows[i - 1] >> (j - 1) & 1:
+                j -= 1
+                out.append((i, j))
+    return out[::-1]
+
+
 def align(a: list, b: list) -> list:
     """The wrapper of both streams: the longest common run of names is kept in order, and what only
     one has between two of them becomes optional."""
-    if [_name(x) for x in a] == [_name(x) for x in b]:
-        return [_merge(x, y) for x, y in zip(a, b)]
     left, right = [_name(x) for x in a], [_name(x) for x in b]
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if left[i] == right[j] else max(best[i + 1][j], best[i][j + 1])
+    if left == right:
+        return [_merge(x, y) for x, y in zip(a, b)]
     out, i, j = [], 0, 0
-    while i < len(a) or j < len(b):
-        if i < len(a) and j < len(b) and left[i] == right[j]:
-            out.append(_merge(a[i], b[j]))
-            i, j = i + 1, j + 1
-        elif j == len(b) or (i < len(a) and best[i + 1][j] >= best[i][j + 1]):
-            out.append(_optional(a[i]))
-            i += 1
-        else:
-            out.append(_optional(b[j]))
-            j += 1
+    for p, q in [*_common(left, right), (len(a), len(b))]:
+        out += map(_optional, a[i:p])
+        out += map(_optional, b[j:q])
+        if p < len(a):
+            out.append(_merge(a[p], b[q]))
+        i, j = p + 1, q + 1
     return fold(out)
 
 
@@ -267,10 +289,15 @@ def read(node: Node, wrapper: list):
 
     def visit(node, items, path, known):
         slots = list(flat(items, path))
+        of_name: dict[str, list[int]] = {}
+        for k, (_, item) in enumerate(slots):
+            of_name.setdefault(item[0], []).append(k)
         at = 0
         for child in node.children:
             name = "#" if isinstance(child, tuple) else child.key
-            k = next((k for k in (*range(at, len(slots)), *range(at)) if slots[k][1][0] == name), None)
+            ks = of_name.get(name)
+            # The next slot of that name, or else the first.
+            k = ks[bisect_left(ks, at) % len(ks)] if ks else None
             if k is not None:
                 at = k
             here, inner = (slots[k][0], slots[k][1][2] if name != "#" else []) if k is not None else ((*path, -1), [])
@@ -286,17 +313,77 @@ def read(node: Node, wrapper: list):
 # -- which slots are the article -----------------------------------------------------------------
 
 
-def _off(known: tuple[str, ...]) -> bool:
-    """Whether the tags around a slot say that it isn't the article's."""
+_WEAK, _STRONG, _NEVER = 1, 2, 3
+#: Plain text of an element with a strong mark, by that of all around it, and characters a page, from
+#: which on it stands; text in an article element around it counts four times.
+_OUTVOTES, _ARTICLE_CHARS = 4, 140
+
+
+def _mark(key: str, inside: bool) -> int:
+    """What an element's tag and words say against it: 0 nothing, a weak mark where words of a side part
+    are the lesser part of its words, a strong one where they are half or more, or its tag is one."""
+    tag, *words = key.split(".")
+    if tag in _NEVER_TAGS:
+        return _NEVER
+    if tag in _OFF_TAGS or (tag == "header" and not inside):
+        return _STRONG
+    if tag in ("article", "main"):
+        return 0
+    off = sum(w in _OFF_WORDS for w in words)
+    if not off or 2 * off < len(words):
+        return _WEAK if off else 0
+    return _NEVER if any(w in _NEVER_WORDS for w in words) else _STRONG
+
+
+def _marks(known: tuple[str, ...]):
+    """(mark, depth) of every element around a slot that has a mark."""
     inside = False
-    for key in known:
-        tag, *words = key.split(".")
-        if tag in _OFF_TAGS or (tag == "header" and not inside):
-            return True
-        inside = inside or tag in ("article", "main")
-        if tag not in ("article", "main") and any(w in _OFF_WORDS for w in words):
-            return True
-    return False
+    for depth, key in enumerate(known, 1):
+        mark = _mark(key, inside)
+        if mark:
+            yield mark, depth
+        inside = inside or key.split(".")[0] in ("article", "main")
+
+
+def _off(known: tuple[str, ...], standing: frozenset | set = frozenset()) -> bool:
+    """Whether an element around a slot has a mark, and doesn't stand in spite of it."""
+    return any(mark == _NEVER or known[:depth] not in standing for mark, depth in _marks(known))
+
+
+def _shares(texts) -> dict[tuple, tuple[int, int]]:
+    """For every marked path of a page that may stand: its own plain text, and the plain text that
+    speaks against it. ``texts``: (tags around a text, plain characters)."""
+    held: dict[tuple, int] = {}
+    weak: dict[tuple, tuple] = {}
+    named = 0
+    for known, plain in texts:
+        strong, last = (), None
+        for mark, depth in _marks(known):
+            if mark == _WEAK:
+                last = known[:depth]
+            else:
+                strong, last = (known[:depth] if mark == _STRONG else None), None
+                if strong is None:
+                    break
+        if strong is None:
+            continue
+        held[strong] = held.get(strong, 0) + plain
+        if last:
+            own, _ = weak.get(last, (0, ()))
+            weak[last] = own + plain, strong
+        if not strong and any(k.split(".")[0] in ("article", "main") for k in known):
+            named += plain
+    out = {p: (own, held[strong] - own) for p, (own, strong) in weak.items()}
+    for p, own in held.items():
+        if p:
+            out[p] = own, 3 * named + sum(n for q, n in held.items() if len(q) < len(p) and p[: len(q)] == q)
+    return out
+
+
+def _stands(path: tuple[str, ...], pages: int, own: int, against: int) -> bool:
+    """Whether a marked path holds text like an article's, on all pages that have it together."""
+    mark = next(m for m, depth in _marks(path) if depth == len(path))
+    return own >= max(against, 1) if mark == _WEAK else own > _OUTVOTES * against and own >= _ARTICLE_CHARS * pages
 
 
 def _within(known: tuple, region: tuple) -> bool:
@@ -336,17 +423,18 @@ def _regions(weights) -> tuple[list, dict]:
         region = below
 
 
-def choose(stats: dict[tuple, tuple]) -> tuple[dict, list, dict]:
+def choose(stats: dict[tuple, tuple], standing: frozenset | set = frozenset()) -> tuple[dict, list, dict]:
     """Slots that may be the article's, with the tags around them, and the host's regions, best
     first, and those of rarer layouts. ``stats``: by slot (tags around it, distinct pages as far as
-    three, characters, link characters, whether its text is the same on every page)."""
-    good = {s: v for s, v in stats.items() if not _off(v[0])}
-    changing = any(v[1] > 1 and not v[4] for v in good.values())
-    good = {
-        s: v
-        for s, v in good.items()
-        if not (changing and v[4] and v[1] > 2 and not any(k.split(".")[0] in ("article", "main") for k in v[0])) and not (v[3] > 0.6 * v[2] and v[0][-1:] != ("p",))
-    }
+    three, characters, link characters, whether its text is the same on every page). ``standing``: the
+    marked paths that hold an article's text. Text that several pages have alike is the template's,
+    unless it is four times the text that changes: then pages are near copies of each other."""
+    good = {s: v for s, v in stats.items() if not _off(v[0], standing)}
+    alike = {s for s, v in good.items() if v[4] and v[1] > 1 and not any(k.split(".")[0] in ("article", "main") for k in v[0])}
+    plain = lambda found: sum(good[s][2] - good[s][3] for s in found)
+    if plain(alike) > _OUTVOTES * plain(s for s, v in good.items() if not v[4]):
+        alike = set()
+    good = {s: v for s, v in good.items() if s not in alike and not (v[3] > 0.6 * v[2] and v[0][-1:] != ("p",))}
     if not good:
         return {}, [], {}
     return {s: v[0] for s, v in good.items()}, *_regions([(v[0], v[2]) for v in good.values()])
@@ -393,26 +481,35 @@ def _digest(text: str) -> int:
 
 
 _SUMS = "pages long, chars long, links long, low long, high long, least long, most long, marks decimal(38,0), squares decimal(38,0)"
-_SEEN = f"host string, pattern string, slot string, known string, {_SUMS}"
+_SEEN = f"host string, form string, slot string, known string, {_SUMS}"
 _COLUMNS = [c.split()[0] for c in _SUMS.split(", ")]
-_OF_HOST = f"host string, wrapper string, slot string, known string, {_SUMS}"
+_OF_HOST = f"host string, slot string, known string, {_SUMS}"
+#: In the place of a slot: a row that says a wrapper, and one that weighs a marked path.
+_SAYS, _WEIGHS = "says", "weighs"
 
 
 def _observe(batches):
-    """Statistics of each distinct single-page wrapper, summed within a batch. A page's mark is the
-    digest of its texts that may be an article's: copies have the same."""
+    """Statistics of each distinct single-page wrapper, summed within a batch; rows name it by a
+    128-bit hash, and one row says it. A page's mark is the digest of its texts that may be an
+    article's: copies have the same. A row that weighs a marked path has its own text as chars and the
+    text that speaks against it as links."""
     for batch in batches:
         sums: dict[tuple, list] = {}
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1)):
             tree = parse(page.as_py())
             pattern = _of(tree)
             text, own = json.dumps(pattern, separators=(",", ":")), {}
+            form = xxhash.xxh3_128_hexdigest(text)
             for slot, (words, links), known in read(tree, pattern):
                 own.setdefault((slot, known), []).append((words, links))
-            mark = _digest("\n".join(w for (_, known), found in own.items() if not _off(known) for w, _ in found))
+            mark = _digest("\n".join(w for (_, known), found in own.items() if all(m == _WEAK for m, _ in _marks(known)) for w, _ in found))
+            sums.setdefault((host, form, _SAYS, text), [0] * 9)[0] += 1
+            for path, (inside, against) in _shares((known, sum(len(w) - n for w, n in found)) for (_, known), found in own.items()).items():
+                s = sums.setdefault((host, form, _WEIGHS, "/".join(path)), [0] * 9)
+                s[0], s[1], s[2] = s[0] + 1, s[1] + inside, s[2] + against
             for (slot, known), found in own.items():
                 digest = _digest("\n".join(w for w, _ in found))
-                s = sums.setdefault((host, text, slot, known), [0, 0, 0, digest, digest, mark, mark, 0, 0])
+                s = sums.setdefault((host, form, json.dumps(slot), "/".join(known)), [0, 0, 0, digest, digest, mark, mark, 0, 0])
                 s[0] += 1
                 s[1] += sum(len(w) for w, _ in found)
                 s[2] += sum(n for _, n in found)
@@ -420,8 +517,7 @@ def _observe(batches):
                 s[5], s[6] = min(s[5], mark), max(s[6], mark)
                 s[7] += mark
                 s[8] += mark * mark
-        rows = [(h, t, json.dumps(s), "/".join(k), *v) for (h, t, s, k), v in sums.items()]
-        yield _batch(rows, _SEEN)
+        yield _batch([(*k, *v) for k, v in sums.items()], _SEEN)
 
 
 _TYPES = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "decimal(38,0)": pa.decimal128(38, 0)}
@@ -473,8 +569,12 @@ def _slots_between(pattern: str, wrapper: str) -> dict:
 
 
 def _translate(batches):
+    """Slots of one page's wrapper, with their sums, as slots of its host's."""
     for batch in batches:
-        rows = [(r["host"], r["wrapper"], _slots_between(r["pattern"], r["wrapper"]).get(r["slot"], "[-1]"), r["known"], *(r[c] for c in _COLUMNS)) for r in batch.to_pylist()]
+        rows = []
+        for r in batch.to_pylist():
+            to = _slots_between(r["pattern"], r["wrapper"])
+            rows += [(r["host"], x["slot"] if x["slot"] == _WEIGHS else to.get(x["slot"], "[-1]"), x["known"], *(x[c] for c in _COLUMNS)) for x in r["slots"]]
         yield _batch(rows, _OF_HOST)
 
 
@@ -488,11 +588,16 @@ def _up_to_three(pages: int, least: int, most: int, marks: int, squares: int) ->
 
 @lru_cache(256)
 def _rules(stats: str) -> tuple[dict, list, dict]:
-    found = {}
+    found, standing = {}, set()
     for slot, known, pages, chars, links, same, least, most, marks, squares in json.loads(stats):
+        path = tuple(known.split("/")) if known else ()
+        if slot == _WEIGHS:
+            if _stands(path, pages, chars, links):
+                standing.add(path)
+            continue
         distinct = _up_to_three(pages, least, most, marks, squares)
-        found[(tuple(json.loads(slot)), known)] = (tuple(known.split("/")) if known else (), distinct, chars, links, bool(same))
-    return choose(found)
+        found[(tuple(json.loads(slot)), known)] = (path, distinct, chars, links, bool(same))
+    return choose(found, standing)
 
 
 @lru_cache(256)
@@ -525,13 +630,18 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     readable host share the empty host's wrapper. Repeated rows and null identifiers are kept."""
     short_batches(pages.sparkSession)
     chosen = _prepared(pages, id_col, url_col, html_col)
-    seen = chosen.select("host", "html").mapInArrow(_observe, _SEEN).groupBy("host", "pattern", "slot", "known")
+    seen = chosen.select("host", "html").mapInArrow(_observe, _SEEN).groupBy("host", "form", "slot", "known")
     seen = materialize(seen.agg(*_summed()), "wrapper-stats")
-    wrappers = infer_wrappers(seen.select("host", "pattern").distinct()).withColumnRenamed("pattern", "wrapper")
-    summed = seen.join(wrappers, "host").mapInArrow(_translate, _OF_HOST).groupBy("host", "wrapper", "slot", "known").agg(*_summed())
+    forms = seen.filter(F.col("slot") == _SAYS).select("host", "form", F.col("known").alias("pattern"))
+    wrappers = infer_wrappers(forms.select("host", "pattern").distinct()).withColumnRenamed("pattern", "wrapper")
+    # A row for each distinct page wrapper, with the sums of its slots: as long as one page's template.
+    of_form = seen.filter(F.col("slot") != _SAYS).groupBy("host", "form").agg(F.collect_list(F.struct("slot", "known", *_COLUMNS)).alias("slots"))
+    met = of_form.join(forms, ["host", "form"]).join(wrappers, "host").select("host", "pattern", "wrapper", "slots")
+    summed = met.mapInArrow(_translate, _OF_HOST).groupBy("host", "slot", "known").agg(*_summed())
     # A host's row holds its wrapper's slots: bounded by the template, not by the pages.
     same = (F.col("low") == F.col("high")).cast("int")
     numbers = ["pages", "chars", "links", same, "least", "most", "marks", "squares"]
     row = F.concat(F.lit("["), F.concat_ws(",", *(F.concat(F.lit('"'), F.col(c), F.lit('"')) for c in ("slot", "known")), *((F.col(c) if isinstance(c, str) else c).cast("string") for c in numbers)), F.lit("]"))
-    rules = materialize(summed.groupBy("host", "wrapper").agg(F.concat(F.lit("["), F.concat_ws(",", F.array_sort(F.collect_list(row))), F.lit("]")).alias("stats")), "wrapper-rules")
+    stats = summed.groupBy("host").agg(F.concat(F.lit("["), F.concat_ws(",", F.array_sort(F.collect_list(row))), F.lit("]")).alias("stats"))
+    rules = materialize(wrappers.join(stats, "host"), "wrapper-rules")
     return chosen.join(rules, "host", "left").select("page_id", "url", "html", "wrapper", "stats").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

@@ -2,7 +2,9 @@
 
 import html
 import json
+import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -70,6 +72,87 @@ def test_copies_of_a_page_are_no_template(spark, copies):
     assert len(got) == len(rows) and {(r.page_id, r.text) for r in got} == set(want.items())
 
 
+NAMES = ["content with-sidebar", "layout-has-footer", "more-stories-body", "main-content notice-free", "share-price-report", "story", "x7", ""]
+WORDS = "river stone window letter garden market winter bridge copper lantern harbour meadow".split()
+
+
+def prose(g, words):
+    return " ".join(g.choice(WORDS) for _ in range(words)).capitalize() + "."
+
+
+def named_page(g, name, k, words=40):
+    """(html, its article): an article in an element of that name among parts that are none."""
+    head, paragraphs = f"Report {k}: " + prose(g, 4), [prose(g, g.randint(words // 2, words)) for _ in range(3)]
+    tag = f'<div class="{name}">' if name else "<div>"
+    return (
+        f"""<html><body><header><a href=/>Home</a></header><nav><ul><li><a href=/a>News</a><li><a href=/b>{prose(g, 1)}</a></ul></nav><div class="cookie-notice">We use cookies to improve</div>
+        {tag}<h1>{head}</h1>{''.join(f'<p>{p}</p>' for p in paragraphs)}<div class="sidebar"><p>{prose(g, 6)}</p></div></div>
+        <div id="comments"><p>{prose(g, 12)}</p><p>{prose(g, 9)}</p></div><div class="newsletter-signup">Join {prose(g, 3)}</div><footer>Imprint {k}</footer></body></html>""",
+        " ".join([head, *paragraphs]),
+    )
+
+
+@pytest.mark.parametrize("pages", [1, 2, 3, 100])
+def test_no_article_is_lost_to_its_name(spark, pages):
+    """Every name on a host of its own, and all of them as layouts of one host."""
+    g, rows, want = random.Random(pages), [], {}
+    for h, name in enumerate(NAMES):
+        for k in range(pages):
+            for host in (f"h{h}", "all"):
+                html_, want[len(rows)] = named_page(g, name, len(rows))
+                rows.append((len(rows), f"http://{host}.example/{k}", html_))
+    got = wrappers.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert {r.page_id: r.text for r in got.collect()} == want
+
+
+def brute_choice(pages):
+    """What stands, over pages as lists of (tags around a text, text): every marked path is weighed anew
+    over every text of every page that has it."""
+    words = lambda key: key.split(".")[1:]
+    share = lambda key: sum(w in wrappers._OFF_WORDS for w in words(key)) / max(1, len(words(key)))
+    strong = lambda key: key.split(".")[0] in ("aside", "footer", "form") or share(key) >= 0.5
+    weak = lambda key: not strong(key) and share(key) > 0
+    paths = {known[:d] for page in pages for known, _ in page for d in range(1, len(known) + 1) if strong(known[d - 1]) or weak(known[d - 1])}
+    out = set()
+    for p in paths:
+        own = against = have = 0
+        for page in pages:
+            here = [(known, len(t)) for known, t in page if known[: len(p)] == p]
+            at = lambda known: max((d for d in range(1, len(known) + 1) if strong(known[d - 1])), default=0)
+            last = lambda known: max((d for d in range(1, len(known) + 1) if strong(known[d - 1]) or weak(known[d - 1])), default=0)
+            if strong(p[-1]):
+                mine = [n for known, n in here if at(known) == len(p)]
+                against += sum(len(t) for known, t in page if at(known) < len(p) and known[: at(known)] == p[: at(known)]) if mine else 0
+            else:
+                mine = [n for known, n in here if last(known) == len(p)]
+                against += sum(len(t) for known, t in page if known[: at(known)] == p[: at(p)] and at(known) == at(p)) - sum(mine) if mine else 0
+            own, have = own + sum(mine), have + bool(mine)
+        if have and (own > 4 * against and own >= 140 * have if strong(p[-1]) else own >= max(against, 1)):
+            out.add(p)
+    return out
+
+
+def test_what_stands_by_brute_force():
+    g = random.Random(8)
+    keys = ["div", "div.content.with.sidebar", "div.sidebar", "aside", "form", "div.promo.box.text", "section", "p", "div.footer.bar.of.page"]
+    for _ in range(300):
+        pages = [[(tuple(g.choice(keys) for _ in range(g.randint(0, 4))), "x" * g.choice([5, 60, 300, 2000])) for _ in range(g.randint(1, 7))] for _ in range(g.randint(1, 4))]
+        sums = {}
+        for page in pages:
+            for p, (own, against) in wrappers._shares((known, len(t)) for known, t in page).items():
+                a, b, n = sums.get(p, (0, 0, 0))
+                sums[p] = a + own, b + against, n + 1
+        assert {p for p, (own, against, n) in sums.items() if wrappers._stands(p, n, own, against)} == brute_choice(pages)
+
+
+def test_many_differently_named_siblings(spark):
+    """Ten thousand siblings of different names beside ten thousand others."""
+    rows = [(k, "http://h.example/", "<body><article>" + "".join(f"<div class=x{chr(97 + j % 26)}{chr(97 + j // 26 % 26)}{chr(97 + j // 676)}{'yz'[k]}><p>t{j}</p></div>" for j in range(10_000)) + "</article>") for k in range(2)]
+    began = time.perf_counter()
+    got = wrappers.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all(r.text == " ".join(f"t{j}" for j in range(10_000)) for r in got) and time.perf_counter() - began < 120
+
+
 def test_distinct_marks_up_to_three():
     for marks in ([5], [5, 5, 5], [0, 9], [9, 0, 0, 9], [0, 1, 9], [4, 4, 3, 2, 1], [2**32 - 1] * 4 + [2**32 - 2, 0]):
         got = wrappers._up_to_three(len(marks), min(marks), max(marks), sum(marks), sum(m * m for m in marks))

@@ -446,24 +446,28 @@ def test_pii_odd(odd, none):
 # -- 10 --------------------------------------------------------------------------------------------
 
 
-def brute_scores(rows, prior=ngrams.PRIOR):
-    """rows: [(doc, text)] → {doc: (n_tokens, n_known, N, base, score)}."""
+def brute_scores(rows, priors=ngrams.PRIORS):
+    """rows: [(doc, text)] → {doc: (n_tokens, n_known, N, base, score)}, by counters over whole texts."""
     words = lambda t: [*re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()), None]
-    uni, pair = Counter(), Counter()
+    uni, pair, triple = Counter(), Counter(), Counter()
     for i, t in rows:
         if i is None or zlib.crc32(str(i).encode()) % 5 != 1:
             w = words(t)
             uni.update(w)
-            pair.update(zip([b"<begin>", *w], w))
+            w = [b"<begin>", *w]
+            pair.update(zip(w, w[1:]))
+            triple.update(zip(w, w[1:], w[2:]))
     n, v = sum(uni.values()), len(uni)
     visits = {**uni, b"<begin>": uni[None]}
-    visits[None] = 0
-    p = lambda w: (uni[w] + 0.5) / (n + 0.5 * (v + 1))
+    p1 = lambda w: (uni[w] + 0.5) / (n + 0.5 * (v + 1))
+    p2 = lambda g, w: (pair[g, w] + priors[0] * p1(w)) / (visits.get(g, 0) + priors[0])
+    p3 = lambda f, g, w: (triple[f, g, w] + priors[1] * p2(g, w)) / (pair[f, g] + priors[1])
     out = {}
     for i, t in rows:
         w = words(t)
-        score = sum(math.log10((pair[h, x] + prior * p(x)) / (visits.get(h, 0) + prior)) for h, x in zip([b"<begin>", *w], w))
-        out[i] = (len(w), sum(uni[x] > 0 for x in w), n, sum(math.log10(p(x)) for x in w), score)
+        full = [b"<begin>", *w]
+        score = math.log10(p2(b"<begin>", w[0])) + sum(math.log10(p3(*x)) for x in zip(full, full[1:], full[2:]))
+        out[i] = (len(w), sum(uni[x] > 0 for x in w), n, sum(math.log10(p1(x)) for x in w), score)
     return out
 
 
@@ -486,24 +490,46 @@ def test_scores_odd(odd, none):
     assert ngrams.score_texts(none).count() == 0
 
 
-def test_one_walk_equals_all_walks_and_states_sum_to_one():
+def small_automaton(texts, held, priors):
+    """The automaton of one block whose texts are the whole corpus, and the block."""
     b = ngrams._Block()
-    for k, t in enumerate([b"a b a b c", b"", b"b a", b"c c c"]):
-        b.add(k, k == 3, t)
+    for k, t in enumerate(texts):
+        b.add(k, k in held, t)
     row = b.row(0).to_pylist()[0]
-    block = ngrams.Counted(row["held"], row["lengths"], row["tokens"], row["vocab"])
-    answered = block.counts.astype(np.int64)
-    words, pairs = block.totals(answered)
-    m = ngrams.Automaton(block, words, pairs, int(words.sum()), int((words > 0).sum()), 2.0)
-    alone = [m.walk(block.tokens[f : f + n]) for f, n in zip(block.first, block.lengths)]
-    assert m.walk_all(block) == pytest.approx(alone)
-    unseen = 0.5 / (words.sum() + 0.5 * ((words > 0).sum() + 1))
-    known = [w for w in range(len(words)) if words[w] > 0]
-    for state in (*known, len(words)):
-        if state == 0:
-            continue
-        total = sum(10 ** m.step(state, w)[1] for w in known) + 10 ** m.fail[state] * unseen
-        assert total == pytest.approx(1.0)
+    block, words = ngrams.Tokens(row["tokens"]), ngrams._words(row["words"])
+    counts = np.bincount(block.tokens[block.learnt], minlength=len(words) + 1)
+    grams = ngrams.Grams(block, np.arange(2, len(words) + 2), 8)
+    pairs = np.bincount(grams.pair, grams.counts, minlength=len(grams.u)).astype(np.int64)
+    m = ngrams.Automaton(grams, counts[1:], pairs, grams.counts, int(counts[0]), int(counts.sum()), int((counts > 0).sum()), priors)
+    return m, block, counts
+
+
+def test_failure_arcs_go_through_shorter_contexts_and_states_sum_to_one():
+    m, block, counts = small_automaton([b"a b a b c", b"", b"b a", b"c c c", b"a b c a b"], {3}, (2.0, 0.5))
+    assert set(m.fail_to[1 : m.width + 1]) == {m.ROOT} and all(1 <= s <= m.width for s in m.fail_to[m.width + 1 :])
+    unseen = 0.5 / (counts.sum() + 0.5 * ((counts > 0).sum() + 1))
+    known = np.flatnonzero(counts > 0)
+    reached = {m.begin, *m.to.tolist()} - {m.ROOT}
+    for state in reached:
+        at, fallen = state, 0.0
+        while at != m.ROOT:
+            fallen, at = fallen + m.fail[at], m.fail_to[at]
+        _, weight = m.step(np.full(len(known), state), known)
+        assert (10**weight).sum() + 10**fallen * unseen == pytest.approx(1.0), state
+
+
+def test_texts_walked_together_equal_texts_walked_alone():
+    g = random.Random(6)
+    texts = [" ".join(g.choice("abcde") for _ in range(g.randint(0, 30))).encode() for _ in range(50)]
+    m, block, _ = small_automaton(texts, {3, 4}, (2.0, 0.5))
+    alone = []
+    for f, n in zip(block.first, block.lengths):
+        state, total = np.array([m.begin]), 0.0
+        for w in block.tokens[f : f + n]:
+            state, weight = m.step(state, np.array([w]))
+            total += weight[0]
+        alone.append(total)
+    assert m.walk(block) == pytest.approx(alone)
 
 
 def test_planes():
