@@ -38,6 +38,8 @@ MIN_BUCKETS = 64
 #: Weight of the shorter context in each state, in tokens: contexts of one word, of two words (of those
 #: tried, the best for held-out documents of the test tables).
 PRIORS = (4000.0, 8.0)
+#: Words that are read one after another from one place of a text.
+STRIDE = 256
 END, BEGIN = 0, 1
 _ODD_A, _ODD_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -335,6 +337,8 @@ class Automaton:
         self.begin = 1 + grams.begin
         self.fail_to = np.concatenate(([self.ROOT], np.full(width, self.ROOT), v + 1))
         self.fail = np.concatenate(([0.0], np.log10(priors[0] / (visits + priors[0])), np.log10(priors[1] / (pairs + priors[1]))))
+        seen_local = by_local[pairs[by_local] > 0]
+        self.pair_keys, self.pair_states = (u * width + v)[seen_local], pair_state[seen_local]
         lower, upper = pairs > 0, (triples > 0) & (v[of] != END)
         to = np.where(middle >= 0, pair_state[middle], self.ROOT)
         keys = np.concatenate(((1 + u[lower]) * width + v[lower], pair_state[of[upper]] * width + w[upper]))
@@ -362,19 +366,31 @@ class Automaton:
             state[left] = self.fail_to[state[left]]
         return to, weight
 
-    def walk(self, texts: Tokens) -> np.ndarray:
-        """The log10 probability of each text: all of them are read from left to right together, one word
-        a step, each carrying its state."""
-        order = np.argsort(-texts.lengths, kind="stable")
-        first, lengths = texts.first[order], texts.lengths[order]
-        state, total = np.full(len(order), self.begin), np.zeros(len(order))
+    def context(self, before: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """The states that texts ending in these two words are in: the longest context in training."""
+        if not len(self.pair_keys):
+            return self.root_to[last]
+        at = _look_up(self.pair_keys, before * self.width + last)
+        return np.where(at >= 0, self.pair_states[at], self.root_to[last])
+
+    def walk(self, texts: Tokens, stride: int = STRIDE) -> np.ndarray:
+        """The log10 probability of each text, read from left to right, one word a step, with the state
+        carried along. All texts of the block are read together; a long one from several places at
+        once, each beginning in the state that the words before it lead to."""
+        parts = -(-texts.lengths // stride)
+        text = np.repeat(np.arange(len(parts)), parts)
+        at = (np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts)) * stride
+        order = np.argsort(-np.minimum(stride, texts.lengths[text] - at), kind="stable")
+        text, at = text[order], at[order]
+        first, lengths = texts.first[text] + at, np.minimum(stride, texts.lengths[text] - at)
+        state, later = np.full(len(text), self.begin), np.flatnonzero(at)
+        state[later] = self.context(texts.tokens[first[later] - 2], texts.tokens[first[later] - 1])
+        total = np.zeros(len(text))
         still = np.searchsorted(-lengths, -np.arange(lengths.max(initial=0)), side="left")
-        for at, n in enumerate(still.tolist()):
-            state[:n], weight = self.step(state[:n], texts.tokens[first[:n] + at])
+        for k, n in enumerate(still.tolist()):
+            state[:n], weight = self.step(state[:n], texts.tokens[first[:n] + k])
             total[:n] += weight
-        out = np.empty(len(order))
-        out[order] = total
-        return out
+        return np.bincount(text, total, minlength=len(parts))
 
 
 def _look_up(keys: np.ndarray, asked: np.ndarray) -> np.ndarray:

@@ -529,7 +529,8 @@ def test_texts_walked_together_equal_texts_walked_alone():
             state, weight = m.step(state, np.array([w]))
             total += weight[0]
         alone.append(total)
-    assert m.walk(block) == pytest.approx(alone)
+    for stride in (2, 7, 256):
+        assert m.walk(block, stride) == pytest.approx(alone)
 
 
 def test_planes():
