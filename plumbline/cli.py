@@ -40,17 +40,18 @@ def run(a):
     """Score a labelled corpus, going on from what an interrupted run has scored, and calibrate."""
     from plumbline.functions.text import word_count
     from plumbline.operators.sampling import still_to_do
-    from plumbline.sources.receipts import append_scored, path_exists
-    from plumbline.sources.tables import as_binary, read_labelled
-    from plumbline.streaming.monitors import guard_identity
+    from plumbline.sources.receipts import append_scored, begin_run, complete_run, path_exists
+    from plumbline.sources.tables import as_binary, file_hashes, read_labelled
 
     spark, scorer = _spark(), _scorer(a.scorer)
     corpus, done = read_labelled(spark, a.corpus), f"{a.out}/partial"
-    guard_identity(spark, f"{a.out}/state", {"scorer": a.scorer, "corpus": a.corpus})
+    counts = {r.label: r["count"] for r in corpus.groupBy("label").count().collect()}
+    begin_run(spark, a.out, {"name": a.corpus, "sha256": [r.sha256 for r in file_hashes(spark, a.corpus).orderBy("path").collect()], "counts": counts}, {"detector": a.scorer}, f"run {a.corpus} {a.out} --scorer {a.scorer}")
     todo = still_to_do(corpus, spark.read.parquet(done)) if path_exists(spark, done) else corpus
     append_scored(done, scorer.score(todo).select("id", "score"))
     rows = spark.read.parquet(done).join(corpus, "id").withColumn("n_words", word_count("text")).drop("text")
     _calibrate(as_binary(rows.filter("score IS NOT NULL")), a.out, {"detector": a.scorer, "corpus": a.corpus, "version": "1"}, "id")
+    complete_run(spark, a.out)
 
 
 def analyze(a):

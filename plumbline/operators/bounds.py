@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, functions as F
 
 from plumbline.plans.prefix import running_totals
+from plumbline.plans.shared import materialize
 
 ALPHAS = (0.05, 0.01, 0.005)
 
@@ -44,6 +45,7 @@ def conformal_table(scores: DataFrame, alphas=ALPHAS) -> DataFrame:
     for a in alphas:
         check_alpha(a)
     flat = scores.groupBy("score").agg(F.count_if(F.col("y") == 0).alias("neg"), F.count_if(F.col("y") == 1).alias("pos"))
+    flat = materialize(flat, "bounds")
     up = running_totals(flat, "score", ["neg", "pos"])
     n = flat.agg(F.coalesce(F.sum("neg"), F.lit(0)).alias("n"), F.coalesce(F.sum("pos"), F.lit(0)).alias("n_pos"))
     met = up.crossJoin(F.broadcast(n))
@@ -67,6 +69,7 @@ def conformal_band(reference: DataFrame, alphas=ALPHAS) -> DataFrame:
     """Two-sided bands on (score): (alpha, n_reference, k, lo, hi, refusal). Outside is a score
     strictly below ``lo`` or strictly above ``hi``."""
     flat = reference.groupBy("score").agg(F.count("*").alias("n1"))
+    flat = materialize(flat, "band")
     up = running_totals(flat, "score", ["n1"])
     met = up.crossJoin(F.broadcast(flat.agg(F.coalesce(F.sum("n1"), F.lit(0)).alias("n"))))
     low = lambda a: F.when(F.col("n1_upto") >= F.col("n") + 1 - _rank(F.col("n"), a / 2), F.col("score"))

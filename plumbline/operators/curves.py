@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from plumbline.plans.prefix import running_totals
+from plumbline.plans.shared import materialize
 
 #: Rows of each class below which no ROC statistic is given.
 CLASS_FLOOR = 50
@@ -16,8 +17,8 @@ TARGETS = (0.01, 0.05)
 
 
 def collapse(scores: DataFrame) -> DataFrame:
-    """(score, neg, pos): counts of both classes at each distinct score."""
-    return scores.groupBy("score").agg(F.count_if(F.col("y") == 0).alias("neg"), F.count_if(F.col("y") == 1).alias("pos"))
+    """(score, neg, pos): counts of both classes at each distinct score, written once."""
+    return materialize(scores.groupBy("score").agg(F.count_if(F.col("y") == 0).alias("neg"), F.count_if(F.col("y") == 1).alias("pos")), "counts")
 
 
 def class_refusal(neg, pos, floor: int = CLASS_FLOOR):
@@ -53,7 +54,7 @@ def roc_curve(scores: DataFrame) -> DataFrame:
 
 def midranks(scores: DataFrame) -> DataFrame:
     """``scores`` with ``midrank``: 1-based rank, ties sharing the mean of theirs."""
-    flat = scores.groupBy("score").agg(F.count("*").alias("n"))
+    flat = materialize(scores.groupBy("score").agg(F.count("*").alias("n")), "ranks")
     ranked = running_totals(flat, "score", ["n"])
     ranked = ranked.select("score", (F.col("n_upto") - F.col("n") + (F.col("n") + 1) / F.lit(2.0)).alias("midrank"))
     return scores.join(ranked, "score")

@@ -43,7 +43,7 @@ def cusum(series: DataFrame, direction: str = "down", k: float = CUSUM_K, h: flo
     """(series, t, statistic, alarm): S = max(0, S + x - centre - k), as the running sum above its
     lowest point so far (Lindley), which needs no recursion. The centre is the reference's mean."""
     x = oriented(series, direction)
-    o = x.filter("NOT is_reference").join(F.broadcast(_centre(x)), "series")
+    o = x.filter("NOT is_reference").join(_centre(x), "series")
     o = o.withColumn("c", F.sum(F.col("x") - F.col("centre") - F.lit(k)).over(_upto()))
     o = o.withColumn("statistic", F.col("c") - F.least(F.lit(0.0), F.min("c").over(_upto())))
     return o.select("series", "t", "statistic", (F.col("statistic") > h).alias("alarm"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.functions.text import normalize_answer, word_count
@@ -92,11 +96,46 @@ def lint(probes: DataFrame, cutoff: str) -> DataFrame:
     return own.unionByName(ids).unionByName(prompts)
 
 
-def vintage_hashes(rows: DataFrame, vintage: str, columns: list[str], buckets: int = 256) -> DataFrame:
-    """(vintage, n, content_hash): independent of row order. Rows are hashed, gathered into buckets
+def content_hashes(rows: DataFrame) -> DataFrame:
+    """(vintage, n, content_hash) of (vintage, json): sha256 of a vintage's probes, each as JSON with
+    sorted keys and without private ones (those that begin with an underscore), sorted and joined by
+    line breaks. That is what a frozen vintage is compared by, so it can't be hashed in parts: a vintage
+    is sorted by the cluster and hashed as it streams by, one probe in memory at a time."""
+
+    @F.arrow_udf("string")
+    def canonical(texts: pa.Array) -> pa.Array:
+        plain = lambda x: json.dumps({k: v for k, v in json.loads(x).items() if not k.startswith("_")}, sort_keys=True)
+        return pa.array([None if t is None else plain(t) for t in texts.to_pylist()], pa.string())
+
+    def run(batches):
+        held, digest, n = None, None, 0
+        done = lambda: pa.RecordBatch.from_arrays([pa.array([held]), pa.array([n], pa.int64()), pa.array([digest.hexdigest()])], ["vintage", "n", "content_hash"])
+        for batch in batches:
+            for vintage, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if digest is None or vintage != held:
+                    if digest is not None:
+                        yield done()
+                    held, digest, n = vintage, hashlib.sha256(), 0
+                digest.update(("\n" if n else "").encode() + text.encode())
+                n += 1
+        if digest is not None:
+            yield done()
+
+    each = rows.filter("vintage IS NOT NULL AND json IS NOT NULL").select("vintage", canonical("json").alias("text"))
+    return each.repartition("vintage").sortWithinPartitions("vintage", "text").mapInArrow(run, "vintage string, n long, content_hash string")
+
+
+def template_fingerprint(template: str, options: dict[str, str], version: str) -> dict[str, str]:
+    """What a yes-or-no prompt adds to an instrument's identity: a changed template is another one."""
+    material = template + "||" + repr(sorted(options.items()))
+    return {"version": version, "template_sha256": hashlib.sha256(material.encode()).hexdigest()}
+
+
+def vintage_hashes(rows: DataFrame, vintage: str, columns: list[str]) -> DataFrame:
+    """(vintage, n, content_hash): independent of row order, for vintages too large to be hashed in one
+    stream (:func:`content_hashes` gives the hash that a frozen vintage is known by). Rows are hashed, gathered into buckets
     by their hash's first two digits, and the buckets' hashes hashed, so that a large vintage is
     spread over its buckets."""
-    del buckets
     h = F.sha2(F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns)), 256)
     r = rows.select(F.col(vintage).alias("vintage"), h.alias("h"))
     b = r.groupBy("vintage", F.substring("h", 1, 2).alias("b")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "\n"), 256).alias("bh"))

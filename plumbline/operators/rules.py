@@ -99,7 +99,7 @@ def check_statuses(evidence: DataFrame) -> DataFrame:
 def effective_floor(configs: DataFrame, measured: DataFrame, default: float = 8.0) -> DataFrame:
     """(name, kind, floor_gb, basis): an explicit floor, else one measured for that kind of memory,
     else the default."""
-    j = configs.join(F.broadcast(measured.select("name", "kind", F.col("gb").alias("m"))), ["name", "kind"], "left")
+    j = configs.join(measured.select("name", "kind", F.col("gb").alias("m")), ["name", "kind"], "left")
     basis = F.when(F.col("explicit_gb").isNotNull(), "explicit").when(F.col("m").isNotNull(), "measured").otherwise("default")
     return j.select("name", "kind", F.coalesce("explicit_gb", "m", F.lit(default)).alias("floor_gb"), basis.alias("basis"))
 

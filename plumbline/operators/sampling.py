@@ -65,7 +65,7 @@ def class_subsample(rows: DataFrame, n: int, label: str, id_col: str, seed: int
     """(label, taken, refusal, ids...) n rows of each class; a class that is short is refused whole."""
     counts = rows.groupBy(label).agg(F.count("*").alias("_n"))
     short = counts.filter(F.col("_n") < n).select(label)
-    return first_of_each(rows.join(F.broadcast(short), label, "left_anti"), [label], n, id_col, seed)
+    return first_of_each(rows.join(short, label, "left_anti"), [label], n, id_col, seed)
 
 
 def window_subsample(rows: DataFrame, by: list[str], n: int, id_col: str, pool: int = POOL_FACTOR, seed: int = SEED) -> DataFrame:

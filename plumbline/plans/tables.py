@@ -4,19 +4,45 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbline.functions.text import length_bucket, short_text, word_count
+from plumbline.functions.text import has_words, length_bucket, short_text, word_count
+from plumbline.plans.shared import materialize
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_PREPARED: dict[tuple, DataFrame] = {}
+
+
+def _stamp(spark: SparkSession, df: DataFrame) -> tuple:
+    """The files of a table and when each was written."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = [jvm.org.apache.hadoop.fs.Path(f) for f in sorted(df.inputFiles())]
+    return tuple((str(p), p.getFileSystem(conf).getFileStatus(p).getModificationTime()) for p in at)
+
+
+def counted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, lang, source, n_words, score) of documents that have words. Counting words is most of
+    what any statistic over documents costs, so it is done once for each session and state of the
+    files, and the narrow result is written."""
+    docs = load(spark, sf_dir, "documents")
+    key = (spark.sparkContext.applicationId, *_stamp(spark, docs))
+    if key not in _PREPARED:
+        # Few files or row groups would be as few tasks; words are counted in as many as there are cores.
+        slices = docs.select("doc_id", "lang", "source", "text", F.col("n_chars").cast("double").alias("c")).filter(has_words("text"))
+        if slices.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
+            slices = slices.repartition(spark.sparkContext.defaultParallelism)
+        rows = slices.select("doc_id", "lang", "source", "c", word_count("text").alias("n_words"))
+        _PREPARED[key] = materialize(rows.select("doc_id", "lang", "source", "n_words", (F.col("c") / F.col("n_words")).alias("score")), "documents-counted")
+    return _PREPARED[key]
+
+
 def scored(spark: SparkSession, sf_dir: str, label: str = "lang") -> DataFrame:
     """(doc_id, lang, source, n_words, score, y): score is characters per word. ``label``: "lang"
     (positive: not English), "toxic" or "quality" (positive: quality 0), the latter two for
     labelled documents only. Documents without words have no score and stay out."""
-    docs = load(spark, sf_dir, "documents").select("doc_id", "lang", "source", word_count("text").alias("n_words"), F.col("n_chars").cast("double").alias("c"))
-    docs = docs.filter("n_words > 0").withColumn("score", F.col("c") / F.col("n_words")).drop("c")
+    docs = counted_documents(spark, sf_dir)
     if label == "lang":
         return docs.withColumn("y", F.when(F.col("lang") != "en", 1).otherwise(0))
     labels = load(spark, sf_dir, "labels")

@@ -104,30 +104,52 @@ def _outside(spark, d):
     return c.select("doc_id", "score").crossJoin(F.broadcast(band)).select("doc_id", "alpha", ((F.col("score") > F.col("hi")) | (F.col("score") < F.col("lo"))).alias("flag"))
 
 
+#: Sections of a report: (name, keys, numbers, texts).
+SECTIONS = (
+    ("auroc", (), ("n_neg", "n_pos", "auroc"), ("refusal",)), ("eer", (), ("eer", "threshold"), ("refusal",)), ("threshold", ("target_fpr",), ("threshold", "achieved_fpr", "achieved_tpr"), ("refusal",)),
+    ("conformal", ("alpha",), ("n_calibration", "order_statistic", "bound", "conditional_fpr_mean", "conditional_fpr_sd", "tpr"), ("refusal",)),
+    ("subgroup", ("axis", "value"), ("n_neg", "n_pos", "fpr", "tpr", "rate_withheld"), ()), ("base_rate", ("target_fpr", "prevalence"), ("wrongly_flagged", "ppv"), ()),
+)
+
+
 def _report(spark, d):
-    """All calibration sections as tidy rows (section, key, value)."""
+    """All calibration sections as tidy rows (section, key, field, value, note)."""
     s = scored(spark, d)
-    rows = []
-    for section, df, keys in (
-        ("auroc", curves.auroc(s), []), ("eer", curves.equal_error_rate(s), []), ("threshold", curves.threshold_at_fpr(s), ["target_fpr"]),
-        ("conformal", bounds.conformal_table(s), ["alpha"]), ("subgroup", _rates(spark, d), ["axis", "value"]), ("base_rate", strata.base_rate_table(curves.threshold_at_fpr(s)), ["target_fpr", "prevalence"]),
-    ):
-        rest = [c for c in df.columns if c not in keys]
+    tables = {
+        "auroc": curves.auroc(s), "eer": curves.equal_error_rate(s), "threshold": curves.threshold_at_fpr(s), "conformal": bounds.conformal_table(s),
+        "subgroup": _rates(spark, d), "base_rate": strata.base_rate_table(curves.threshold_at_fpr(s)),
+    }
+    out = None
+    for section, keys, numbers, texts in SECTIONS:
         key = F.concat_ws("/", *(F.col(k).cast("string") for k in keys)) if keys else F.lit("")
-        rows.append(df.select(F.lit(section).alias("section"), key.alias("key"), F.to_json(F.struct(*rest)).alias("value")))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
+        cells = [F.struct(F.lit(c).alias("field"), F.col(c).cast("double").alias("value"), F.lit(None).cast("string").alias("note")) for c in numbers]
+        cells += [F.struct(F.lit(c).alias("field"), F.lit(None).cast("double").alias("value"), F.col(c).cast("string").alias("note")) for c in texts]
+        rows = tables[section].select(F.lit(section).alias("section"), key.alias("key"), F.explode(F.array(*cells)).alias("c")).select("section", "key", "c.field", "c.value", "c.note")
+        out = rows if out is None else out.unionByName(rows)
     return out
 
 
+def _report_sql() -> str:
+    of = {
+        "auroc": auroc_sql(LANG), "eer": eer_sql(LANG), "threshold": threshold_sql(LANG), "conformal": conformal_sql(LANG), "subgroup": ORACLES["subgroup_rates"], "base_rate": ORACLES["base_rate_table"],
+    }
+    parts = []
+    for section, keys, numbers, texts in SECTIONS:
+        key = " || '/' || ".join(f"CAST({k} AS VARCHAR)" for k in keys) or "''"
+        for c in numbers:
+            parts.append(f"SELECT '{section}' AS section, {key} AS key, '{c}' AS field, CAST({c} AS DOUBLE) AS value, CAST(NULL AS VARCHAR) AS note FROM ({of[section]})")
+        for c in texts:
+            parts.append(f"SELECT '{section}', {key}, '{c}', NULL, {c} FROM ({of[section]})")
+    return " UNION ALL ".join(parts)
+
+
 QUERIES = {
     "scored_documents": lambda s, d: scored(s, d).select("doc_id", "n_words", "score", "y", length_bucket("n_words").alias("bucket"), short_text("n_words").alias("short_text")),
     "class_counts": lambda s, d: curves.class_counts(scored(s, d)).withColumn("label", F.lit("lang")).unionByName(curves.class_counts(scored(s, d, "toxic")).withColumn("label", F.lit("toxic"))).unionByName(curves.class_counts(scored(s, d, "quality")).withColumn("label", F.lit("quality"))),
     "midranks": lambda s, d: curves.midranks(scored(s, d)).select("doc_id", "midrank"),
     "auroc": lambda s, d: curves.auroc(scored(s, d)),
     "auroc_toxic": lambda s, d: curves.auroc(scored(s, d, "toxic")),
-    "auroc_refused": lambda s, d: curves.auroc(scored(s, d, "toxic").filter("doc_id % 5 = 0")),
+    "auroc_refused": lambda s, d: curves.auroc(scored(s, d).withColumn("y", F.lit(0))),
     "roc_curve": lambda s, d: curves.roc_curve(scored(s, d)),
     "equal_error_rate": lambda s, d: curves.equal_error_rate(scored(s, d)),
     "equal_error_rate_quality": lambda s, d: curves.equal_error_rate(scored(s, d, "quality")),
@@ -144,7 +166,7 @@ QUERIES = {
     "quantile_shift": lambda s, d: shift.quantile_shift(*populations(s, d)),
     "placements": lambda s, d: shift.placements(*populations(s, d)).select("doc_id", "score", "percentile_ref", "conformal_p", short_text("n_words").alias("short_text")),
     "strata_novelty": lambda s, d: shift.strata_novelty(*populations(s, d), axes()),
-    "auroc_ci": lambda s, d: resample.auroc_ci(scored(s, d), "doc_id", n_boot=200),
+    "auroc_ci": lambda s, d: resample.auroc_ci(scored(s, d), "doc_id"),
     "rate_ci": lambda s, d: resample.proportion_ci(scored(s, d).select("lang", (F.col("score") >= 6.0).alias("flag")), "flag", ["lang"]),
     "rate_ci_md5": lambda s, d: resample.poisson_rate_ci(scored(s, d).select("doc_id", (F.col("score") >= 6.0).alias("flag")), "flag", "doc_id"),
     "auroc_ci_md5": lambda s, d: resample.poisson_auroc_ci(scored(s, d), "doc_id", n_boot=20),
@@ -160,7 +182,7 @@ ORACLES = {
     "midranks": f"WITH {LANG} SELECT doc_id, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0::DOUBLE AS midrank FROM s",
     "auroc": auroc_sql(LANG),
     "auroc_toxic": auroc_sql(labelled("toxic")),
-    "auroc_refused": auroc_sql(labelled("toxic").replace("USING (doc_id))", "USING (doc_id) WHERE doc_id % 5 = 0)")),
+    "auroc_refused": auroc_sql(LANG.replace("SELECT * FROM scored", "SELECT * REPLACE (0 AS y) FROM scored")),
     "roc_curve": f"WITH {LANG}{CURVE} SELECT threshold, fpr, tpr FROM curve WHERE NOT {FEW}",
     "equal_error_rate": eer_sql(LANG),
     "equal_error_rate_quality": eer_sql(labelled("quality")),
@@ -210,3 +232,4 @@ ORACLES = {
       w AS (SELECT axis, value, b, flag, {WEIGHT} AS w FROM (SELECT *, {UNIFORM} AS u FROM l, range(20) t(b))), k AS (SELECT axis, value, b, sum(w * flag::INTEGER)::DOUBLE / sum(w) AS k FROM w WHERE w > 0 GROUP BY ALL)
       SELECT axis, value, rate, n_boot, lo, hi FROM (SELECT axis, value, {ENDS("k")} FROM k GROUP BY ALL) JOIN (SELECT axis, value, avg(flag::INTEGER) AS rate FROM l GROUP BY ALL) USING (axis, value)""",
 }
+ORACLES["calibration_report"] = _report_sql()

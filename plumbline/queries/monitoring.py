@@ -69,16 +69,19 @@ def _runs(s, d):
     return e.groupBy(F.col("event_type").alias("vintage"), (F.col("user_id") % 8).cast("int").alias("run")).agg(F.avg("value").alias("accuracy")).withColumn("replicate", F.col("run") < 4)
 
 
-def _identity(s, d, shift=0):
-    """(field, value) pairs of a derived instrument: the counts of each event type."""
-    e = load(s, d, "events").filter(F.col("event_id") % 10 >= shift)
-    return e.groupBy(F.col("event_type").alias("field")).agg(F.count("*").cast("string").alias("value"))
+def _identity(s, d, rounded=1):
+    """(field, value) pairs of a derived instrument: the counts of each event type, rounded down; another
+    rounding makes another instrument, whose fields are equal where the count is a multiple."""
+    n = F.count("*") - F.count("*") % rounded
+    return load(s, d, "events").groupBy(F.col("event_type").alias("field")).agg(n.cast("string").alias("value"))
 
 
-IDENT = lambda k: f"SELECT event_type AS field, CAST(count(*) AS VARCHAR) AS value FROM events WHERE event_id % 10 >= {k} GROUP BY event_type"
+IDENT = lambda k: f"SELECT event_type AS field, CAST(count(*) - count(*) % {k} AS VARCHAR) AS value FROM events GROUP BY event_type"
 HASH = lambda src: f"""SELECT vintage, sum(n)::BIGINT AS n, sha256(string_agg(bh, chr(10) ORDER BY b)) AS content_hash FROM (
   SELECT vintage, substr(h, 1, 2) AS b, count(*) AS n, sha256(string_agg(h, chr(10) ORDER BY h)) AS bh FROM (SELECT vintage, sha256(conv_id || chr(31) || turn || chr(31) || answer) AS h FROM {src}) GROUP BY ALL) GROUP BY vintage"""
 
+EDITED = "(SELECT * REPLACE (CASE WHEN conv_id = 1 THEN 'edited' ELSE answer END AS answer) FROM a)"
+
 QUERIES = {
     "probe_grades": lambda s, d: probes.grade_free_text(answers(s, d)).select("conv_id", "turn", "vintage", "normalized", "correct"),
     "probe_grades_any_script": lambda s, d: probes.grade_free_text(answers(s, d), normalize_any).select("conv_id", "turn", "normalized", "correct"),
@@ -91,10 +94,10 @@ QUERIES = {
     "ece_ci_md5": lambda s, d: resample.poisson_ece_ci(_confidence(s, d), "vec_id", ["vintage"], n_boot=20),
     "probe_lint": lambda s, d: probes.lint(probe_set(s, d), CUTOFF),
     "vintage_hashes": lambda s, d: probes.vintage_hashes(answers(s, d), "vintage", ["conv_id", "turn", "answer"]),
-    "vintage_freeze_violations": lambda s, d: probes.freeze_violations(probes.vintage_hashes(answers(s, d), "vintage", ["conv_id", "turn", "answer"]), probes.vintage_hashes(answers(s, d).filter("conv_id <> 1"), "vintage", ["conv_id", "turn", "answer"])),
+    "vintage_freeze_violations": lambda s, d: probes.freeze_violations(probes.vintage_hashes(answers(s, d), "vintage", ["conv_id", "turn", "answer"]), probes.vintage_hashes(answers(s, d).withColumn("answer", F.when(F.col("conv_id") == 1, "edited").otherwise(F.col("answer"))), "vintage", ["conv_id", "turn", "answer"])),
     "series_identity": lambda s, d: _identity(s, d).select("field", series.identity_hash(["field", "value"]).alias("series_id")),
-    "identity_diff": lambda s, d: series.identity_diff(_identity(s, d), _identity(s, d, 1).filter("field <> 'click'")),
-    "pinned_mismatches": lambda s, d: series.pinned_mismatches(_identity(s, d), _identity(s, d, 1)),
+    "identity_diff": lambda s, d: series.identity_diff(_identity(s, d), _identity(s, d, 2).filter("field <> 'click'")),
+    "pinned_mismatches": lambda s, d: series.pinned_mismatches(_identity(s, d), _identity(s, d, 2)),
     "variance_bound": lambda s, d: series.variance_bound(_runs(s, d)),
     "movement": lambda s, d: series.movement(_runs(s, d)),
     "run_sequences": lambda s, d: series.sequences(_runs(s, d)),
@@ -130,10 +133,10 @@ ORACLES = {
       UNION ALL SELECT 'warning', id, 'alias repeats under normalisation' FROM p WHERE {norm('aliases[1]')} = {norm('aliases[2]')}
       UNION ALL SELECT 'error', id, 'id repeats' FROM p GROUP BY id HAVING count(*) > 1 UNION ALL SELECT 'warning', id, 'prompt repeats' FROM p WHERE prompt IN (SELECT prompt FROM p GROUP BY prompt HAVING count(*) > 1)) SELECT * FROM r""",
     "vintage_hashes": f"WITH {ANSWERS} {HASH('a')}",
-    "vintage_freeze_violations": f"WITH {ANSWERS}, o AS ({HASH('a')}), n AS ({HASH('(SELECT * FROM a WHERE conv_id <> 1)')}) SELECT vintage, o.content_hash AS was, n.content_hash AS now FROM o JOIN n USING (vintage) WHERE o.content_hash <> n.content_hash",
-    "series_identity": f"""SELECT field, substr(sha256('{{"field":"' || field || '","value":"' || value || '"}}'), 1, 12) AS series_id FROM ({IDENT(0)})""",
-    "identity_diff": f"SELECT field, a.value AS was, b.value AS now FROM ({IDENT(0)}) a FULL JOIN (SELECT * FROM ({IDENT(1)}) WHERE field <> 'click') b USING (field) WHERE a.value IS DISTINCT FROM b.value",
-    "pinned_mismatches": f"SELECT field, a.value AS was, b.value AS now FROM ({IDENT(0)}) a JOIN ({IDENT(1)}) b USING (field) WHERE a.value <> b.value",
+    "vintage_freeze_violations": f"WITH {ANSWERS}, o AS ({HASH('a')}), n AS ({HASH(EDITED)}) SELECT vintage, o.content_hash AS was, n.content_hash AS now FROM o JOIN n USING (vintage) WHERE o.content_hash <> n.content_hash",
+    "series_identity": f"""SELECT field, substr(sha256('{{"field":"' || field || '","value":"' || value || '"}}'), 1, 12) AS series_id FROM ({IDENT(1)})""",
+    "identity_diff": f"SELECT field, a.value AS was, b.value AS now FROM ({IDENT(1)}) a FULL JOIN (SELECT * FROM ({IDENT(2)}) WHERE field <> 'click') b USING (field) WHERE a.value IS DISTINCT FROM b.value",
+    "pinned_mismatches": f"SELECT field, a.value AS was, b.value AS now FROM ({IDENT(1)}) a JOIN ({IDENT(2)}) b USING (field) WHERE a.value <> b.value",
     "variance_bound": f"WITH {RUNS}, {BOUND} SELECT vintage, n_replicates, CASE WHEN n_replicates >= 2 THEN mean END AS mean, CASE WHEN n_replicates >= 2 THEN bound END AS bound, CASE WHEN n_replicates < 2 THEN 'needs 2 replicates, has ' || n_replicates END AS refusal FROM bd",
     "movement": f"WITH {RUNS}, {BOUND} SELECT vintage, run, accuracy - mean AS delta, bound, CASE WHEN n_replicates < 2 THEN 'no bound' WHEN abs(accuracy - mean) > bound THEN 'moved' ELSE 'within' END AS verdict FROM runs JOIN bd USING (vintage) WHERE NOT replicate",
     "run_sequences": f"WITH {RUNS} SELECT vintage AS series, CAST(row_number() OVER (PARTITION BY vintage, replicate ORDER BY run) - 1 AS INTEGER) AS t, accuracy AS value, replicate AS is_reference FROM runs",

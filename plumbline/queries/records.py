@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from plumbline.operators import curves, drift, rules
 from plumbline.plans.shared import shared_dir
 from plumbline.plans.tables import daily_series, load, scored
-from plumbline.queries.calibration import CURVE, LANG
+from plumbline.queries.calibration import LANG, SCORED, threshold_sql
 from plumbline.queries.monitoring import CU, DAILY, PH
 
 CONFIGS = [("small", "ram", None), ("medium", "gpu", None), ("large", "gpu", 24.0), ("served", "ram", None)]
@@ -27,10 +27,10 @@ def _evidence(s, d):
 
 
 def _verdicts(s, d):
-    """Each even document against thresholds calibrated on the odd ones."""
-    both = scored(s, d)
-    t = curves.threshold_at_fpr(both.filter("doc_id % 2 = 1")).filter("refusal IS NULL")
-    return both.filter("doc_id % 2 = 0").select("doc_id", "score").crossJoin(F.broadcast(t)).select("doc_id", "target_fpr", (F.col("score") >= F.col("threshold")).alias("flagged"))
+    """Each document against the thresholds that all of them calibrate."""
+    rows = scored(s, d)
+    t = curves.threshold_at_fpr(rows).filter("refusal IS NULL")
+    return rows.select("doc_id", "score").crossJoin(F.broadcast(t)).select("doc_id", "target_fpr", (F.col("score") >= F.col("threshold")).alias("flagged"))
 
 
 def _stream(s, d):
@@ -79,6 +79,6 @@ ORACLES = {
     "evidence_statuses": "SELECT page_id, CASE WHEN page_id % 16 = 7 THEN 'ABSENT' WHEN page_id % 8 = 7 THEN 'INCONCLUSIVE' ELSE ['PRESENT', 'ABSENT', 'UNAVAILABLE', 'INCONCLUSIVE'][page_id % 4 + 1] END AS status FROM pages",
     "media_kinds": r"SELECT page_id, CASE WHEN s IN ('.html', '.txt', '.md') THEN 'text' WHEN s IN ('.png', '.jpg', '.jpeg', '.webp') THEN 'image' WHEN s IN ('.mp4', '.mov') THEN 'video' WHEN s IN ('.wav', '.mp3') THEN 'audio' ELSE 'other' END AS kind FROM (SELECT page_id, lower(regexp_extract(regexp_replace(url, '[?#].*$', ''), '(\.[^./]+)$', 1)) AS s FROM pages)",
 }
-ORACLES["document_verdicts"] = f"WITH {LANG.replace('SELECT * FROM scored)', 'SELECT * FROM scored WHERE doc_id % 2 = 1)')}{CURVE}, t AS (SELECT a.target_fpr, min(threshold) AS threshold FROM (SELECT unnest([0.01::DOUBLE, 0.05::DOUBLE]) AS target_fpr) a JOIN curve ON fpr <= target_fpr GROUP BY ALL) SELECT doc_id, target_fpr, score >= threshold AS flagged FROM scored, t WHERE doc_id % 2 = 0"
+ORACLES["document_verdicts"] = f"WITH t AS (SELECT target_fpr, threshold FROM ({threshold_sql(LANG)}) WHERE refusal IS NULL), {SCORED} SELECT doc_id, target_fpr, score >= threshold AS flagged FROM scored, t"
 ORACLES["stream_monitors"] = f"WITH {DAILY}, {PH}, {CU} SELECT series, t, ph.statistic AS page_hinkley, ph.statistic > 0.05::DOUBLE AS ph_alarm, cu.statistic AS cusum, cu.statistic > 0.05::DOUBLE AS cusum_alarm, false AS out_of_order FROM ph JOIN cu USING (series, t)"
 ORACLES["receipt_index"] = "SELECT DISTINCT event_type AS id, 'characters-per-word' AS detector, 'events' AS corpus FROM events"

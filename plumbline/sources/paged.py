@@ -5,8 +5,9 @@ pages. It is injected, so nothing here opens a connection by itself."""
 
 from __future__ import annotations
 
+import os
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
 
@@ -15,15 +16,44 @@ from plumbline.sources.tables import Refusal
 PAGE, TRIES = 100, 4
 
 
+class TooMany(OSError):
+    """The server asks to slow down (HTTP status 429); ``after`` is how long, if it says so."""
+
+    def __init__(self, message: str = "too many requests", after: float | None = None):
+        super().__init__(message)
+        self.after = after
+
+
 def retrying(call: Callable, tries: int = TRIES, wait: float = 1.0, sleep: Callable = time.sleep):
-    """``call()`` again after a failure, waiting a little longer each time."""
+    """``call()`` again after a failure, waiting a little longer each time: as long as the server asks
+    for, or twice as long, where it refuses for too many requests."""
     for k in range(1, tries + 1):
         try:
             return call()
         except OSError as error:
             if k == tries:
                 raise Refusal(f"gave up after {tries} tries: {error}") from error
-            sleep(wait * k)
+            longer = isinstance(error, TooMany)
+            sleep(error.after if longer and error.after is not None else wait * k * (2 if longer else 1))
+
+
+def revision(describe: Callable[[], dict]) -> str:
+    """The revision that a remote data set is at, from its description; "unknown" if it doesn't say."""
+    return str(retrying(describe).get("sha") or "unknown")
+
+
+def cached(path: str, fetch: Callable[[], Iterable[bytes]]) -> str:
+    """``path``, which is fetched if it isn't there: chunk by chunk into a neighbour ending in .part, which is
+    renamed when it is whole, so that an interrupted download is never taken for the file."""
+    if not os.path.exists(path):
+        def whole():
+            with open(f"{path}.part", "wb") as out:
+                for chunk in fetch():
+                    out.write(chunk)
+
+        retrying(whole)
+        os.replace(f"{path}.part", path)
+    return path
 
 
 class Pages(InputPartition):

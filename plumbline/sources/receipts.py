@@ -10,7 +10,7 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbline.sources.tables import UNKNOWN, Refusal
+from plumbline.sources.tables import UNKNOWN, Refusal, as_binary, read_scores
 
 
 def _fs(spark: SparkSession, path: str):
@@ -58,20 +58,78 @@ def markdown(name: str, df: DataFrame) -> str:
     return "\n".join([*lines, *("| " + " | ".join(show(v) for v in r) + " |" for r in rows), ""])
 
 
+#: Tables with a row for each distinct score: they have a file, and no place in a report for people.
+_UNBOUNDED = ("roc",)
+
+
 def write_report(out: str, scores: DataFrame, tables: dict[str, DataFrame], environment: dict, title: str = "Report") -> None:
-    """scores (Parquet), one JSON-lines table for each result, env.json and report.md."""
+    """scores (Parquet), one JSON-lines table for each result, env.json and report.md, which has the
+    tables that are bounded by thresholds, groups and alphas."""
     spark = scores.sparkSession
     scores.write.mode("overwrite").parquet(f"{out}/scores")
     for name, df in tables.items():
         df.write.mode("overwrite").json(f"{out}/{name}")
     put_text(spark, f"{out}/env.json", canonical_json(environment))
-    put_text(spark, f"{out}/report.md", "\n".join([f"# {title}", "", *(markdown(n, t) for n, t in tables.items())]))
+    put_text(spark, f"{out}/report.md", "\n".join([f"# {title}", "", *(markdown(n, t) for n, t in tables.items() if n not in _UNBOUNDED)]))
 
 
 def load_report(spark: SparkSession, out: str) -> tuple[DataFrame, dict]:
-    """(scores, environment) of a report; a missing environment is all unknown."""
+    """(scores, environment) of a report: this library's, or a folder with a scores.csv; a missing
+    environment, or a missing part of it, is unknown. Neither table is no report."""
     env = read_text(spark, f"{out}/env.json")
-    return spark.read.parquet(f"{out}/scores"), json.loads(env) if env else {"detector": UNKNOWN, "corpus": UNKNOWN, "version": UNKNOWN}
+    environment = {"detector": UNKNOWN, "corpus": UNKNOWN, "version": UNKNOWN} | (json.loads(env) if env else {}) if not env or path_exists(spark, f"{out}/scores.csv") else json.loads(env)
+    if path_exists(spark, f"{out}/scores"):
+        return spark.read.parquet(f"{out}/scores"), environment
+    if not path_exists(spark, f"{out}/scores.csv"):
+        raise Refusal(f"{out} has no scores: it is not a report")
+    return as_binary(read_scores(spark, f"{out}/scores.csv")), environment
+
+
+def load_instrument(spark: SparkSession, out: str) -> tuple[DataFrame, dict, dict]:
+    """((score, y), environment, results) of a report, for placing new scores: any label but that of the
+    negative class is positive. Scores stay a table; their order is the operators' business."""
+    if not path_exists(spark, f"{out}/scores.csv"):
+        raise Refusal(f"{out} has no scores.csv")
+    texts = [read_text(spark, f"{out}/{name}.json") for name in ("env", "results")]
+    if None in texts:
+        raise Refusal(f"{out} lacks env.json or results.json")
+    scores = as_binary(read_scores(spark, f"{out}/scores.csv", labelled=False), strict=False)
+    return scores.select("score", "y"), json.loads(texts[0]), json.loads(texts[1])
+
+
+STATE = "run.json"
+#: What of an instrument must not change between the parts of one run.
+PINNED = ("detector", "model_id", "quant_requested", "max_tokens", "device", "versions")
+
+
+def begin_run(spark: SparkSession, out: str, corpus: dict, instrument: dict, reproduce: str = "", pinned=PINNED) -> dict:
+    """The state of the run in ``out``: a new one, written before anything is scored, or that which is
+    there, if corpus and pinned fields are the same; otherwise a refusal that names what differs."""
+    now = {"corpus": corpus, "detector": {k: instrument.get(k) for k in pinned}, "reproduce": reproduce, "complete": False}
+    old = read_text(spark, f"{out}/{STATE}")
+    if old is None:
+        put_text(spark, f"{out}/{STATE}", canonical_json(now))
+        return now
+    state = json.loads(old)
+    differ = [f"corpus.{k}" for k in sorted({*state["corpus"], *corpus}) if state["corpus"].get(k) != corpus.get(k)]
+    differ += [k for k in pinned if state["detector"].get(k) != now["detector"][k]]
+    if differ:
+        raise Refusal(f"{out} holds a run of another instrument or corpus: {', '.join(differ)}")
+    return state
+
+
+def read_run(spark: SparkSession, out: str) -> dict:
+    text = read_text(spark, f"{out}/{STATE}")
+    if text is None:
+        raise Refusal(f"{out} has no {STATE}: there is no run to go on with")
+    return json.loads(text)
+
+
+def complete_run(spark: SparkSession, out: str) -> dict:
+    """Mark the run as complete."""
+    state = read_run(spark, out) | {"complete": True}
+    put_text(spark, f"{out}/{STATE}", canonical_json(state))
+    return state
 
 
 def export_document(spark: SparkSession, root: str, name: str, document: dict, force: bool = False) -> bool:

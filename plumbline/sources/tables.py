@@ -5,7 +5,7 @@ them; what is optional and missing becomes null columns."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 LABELS = ("human", "ai")
 UNKNOWN = "unknown"
@@ -28,12 +28,30 @@ def require_columns(df: DataFrame, needed) -> None:
         raise Refusal(f"missing columns: {', '.join(missing)}")
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(stem, line, value) of a JSON-lines file, numbered from 0 by physical line.
+def numbered(rows: DataFrame, number: str) -> DataFrame:
+    """``rows`` of a file scan (with columns _file and _block: the file and where the split begins in it)
+    with ``number``: their place in their file, from 0, and _before: how many rows earlier files have.
+
+    Within a split rows come in file order; the splits' row counts, a row for each split, say where each
+    begins. So a large file is read by many tasks and no window sees its rows."""
+    at = rows.withColumn("_at", F.monotonically_increasing_id())
+    # The count of a scan that only reads where rows are; splits don't depend on the columns read.
+    counts = at.groupBy("_file", "_block").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    earlier = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = counts.groupBy("_file").agg(F.sum("_n").alias("_of_file"))
+    files = sizes.select("_file", F.coalesce(F.sum("_of_file").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).join(files, "_file")
+    out = at.join(starts, ["_file", "_block"])
+    return out.withColumn(number, F.col("_start") + F.col("_at") - F.col("_first")).drop("_at", "_first", "_n", "_start", "_block")
+
+
+_PLACE = ("_metadata.file_path AS _file", "_metadata.file_block_start AS _block")
+
 
-    One split in file order: numbering needs it. Files are the size of a corpus description."""
-    raw = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.[^.]*)?$", 1).alias("stem"), "value")
-    return raw.select("stem", F.posexplode(F.split("value", "\r?\n")).alias("line", "value")).filter(F.trim("value") != "")
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(stem, line, value) of JSON-lines files, numbered from 0 by physical line of each file."""
+    raw = spark.read.text(path).selectExpr(*_PLACE, "regexp_extract(_metadata.file_name, '^(.*?)(?:[.][^.]*)?$', 1) AS stem", "value")
+    return numbered(raw, "line").select("stem", "line", "value").filter(F.trim("value") != "")
 
 
 def read_labelled(spark: SparkSession, path: str) -> DataFrame:
@@ -57,19 +75,24 @@ def read_candidates(spark: SparkSession, path: str) -> tuple[DataFrame, bool]:
     return rows.drop("label"), seen.k > 0
 
 
-def read_scores(spark: SparkSession, path: str, labelled: bool = True, partial: bool = False) -> DataFrame:
+SCORE_FIELDS = ("id", "label", "score", "seconds", "n_words", "meta")
+
+
+def read_scores(spark: SparkSession, path: str, labelled: bool = True, partial: bool = False, multi_line: bool = False) -> DataFrame:
     """(id, label, score, seconds, n_words, meta, row_ix) of a score table with a header; columns
     beyond score (and label) are optional. ``partial``: a file whose last line may be cut off; rows
-    without a readable score are then dropped instead of refused."""
-    raw = spark.read.csv(path, header=True, inferSchema=False, enforceSchema=False, multiLine=True, escape='"', mode="DROPMALFORMED" if partial else "PERMISSIVE")
+    without a readable score are then dropped instead of refused. A file is read in splits, so a line is
+    a row; ``multi_line`` reads fields that hold line breaks, a file to a task. row_ix is the row's place
+    in the file, over several files in the order of their paths."""
+    raw = spark.read.csv(path, header=True, inferSchema=False, enforceSchema=False, multiLine=multi_line, escape='"', mode="DROPMALFORMED" if partial else "PERMISSIVE")
     require_columns(raw, ["score", "label"] if labelled else ["score"])
-    has = lambda c: F.col(c) if c in raw.columns else F.lit(None).cast("string")
-    # Row order is file order: a single split of a single file, numbered as it is read.
-    rows = raw.coalesce(1).withColumn("row_ix", F.monotonically_increasing_id())
-    words = F.expr("cast(try_cast(n_words as double) as int)") if "n_words" in raw.columns else F.lit(None).cast("int")
+    known = [c for c in SCORE_FIELDS if c in raw.columns]
+    rows = numbered(raw.selectExpr(*_PLACE, *known), "row_ix").withColumn("row_ix", F.col("_before") + F.col("row_ix"))
+    has = lambda c: F.col(c) if c in known else F.lit(None).cast("string")
+    words = F.expr("cast(try_cast(n_words as double) as int)") if "n_words" in known else F.lit(None).cast("int")
     out = rows.select(
         F.coalesce(has("id"), F.concat(F.lit("row"), F.col("row_ix").cast("string"))).alias("id"), has("label").alias("label"), F.expr("try_cast(score as double)").alias("score"),
-        F.expr("try_cast(seconds as double)").alias("seconds") if "seconds" in raw.columns else F.lit(None).cast("double").alias("seconds"), words.alias("n_words"), F.from_json(has("meta"), "map<string,string>").alias("meta"), "row_ix",
+        F.expr("try_cast(seconds as double)").alias("seconds") if "seconds" in known else F.lit(None).cast("double").alias("seconds"), words.alias("n_words"), F.from_json(has("meta"), "map<string,string>").alias("meta"), "row_ix",
     )
     if partial:
         return out.filter("score IS NOT NULL")
@@ -106,6 +129,11 @@ def read_probes(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("id", "prompt", "answer", "vintage", "source", date("source_date").alias("source_date"), date("authored").alias("authored"), "aliases", "line")
 
 
+def probe_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(vintage, json): each probe as it is in the file, for :func:`plumbline.operators.probes.content_hashes`."""
+    return _lines(spark, path).select(F.get_json_object("value", "$.vintage").alias("vintage"), F.col("value").alias("json"))
+
+
 MANIFEST = "manifest_version int, probe_file string, training_cutoff string, grading struct<rule:string,version:string>, decoding struct<policy:string,temperature:double,top_p:double,top_k:int>, control struct<benchmark:string,sha256:string,path:string,scoring:string>"
 
 

@@ -51,14 +51,14 @@ def stream_monitors(observed: DataFrame, centre: DataFrame, direction: str = "do
     spark = observed.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     x = -F.col("value") if direction == "down" else F.col("value")
-    rows = observed.withColumn("x", x).join(F.broadcast(centre), "series").select("series", F.col("t").cast("int").alias("t"), "x", "centre")
+    rows = observed.withColumn("x", x).join(centre, "series").select("series", F.col("t").cast("int").alias("t"), "x", "centre")
     return rows.groupBy("series").transformWithStateInPandas(CumulativeMonitors(**limits), OUT, "append", "none")
 
 
 def stream_alarms(observed: DataFrame, bounds: DataFrame, direction: str = "down") -> DataFrame:
     """(series, t, value, alarm): each interval against its series' frozen order statistic, oriented."""
     x = -F.col("value") if direction == "down" else F.col("value")
-    return observed.join(F.broadcast(bounds), "series").select("series", "t", "value", (x > F.col("bound")).alias("alarm"))
+    return observed.join(bounds, "series").select("series", "t", "value", (x > F.col("bound")).alias("alarm"))
 
 
 def guard_identity(spark, checkpoint: str, identity: dict) -> None:
