@@ -152,7 +152,6 @@ class PieceCoder:
             import sentencepiece
 
             self.native = sentencepiece.SentencePieceProcessor(model_proto=data)
-        self.octets = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else " ⁇ ".encode() if kind == UNKNOWN else p.replace(MARK, " ").encode() for p, _, kind in self.spec.pieces] + [b"\xff"]
 
     def normalize(self, text: str) -> str:
         if not self.spec.charsmap and not self.spec.squeeze and self.spec.escape:
@@ -167,6 +166,7 @@ class PieceCoder:
         return _WORDS.findall(text)
 
     def _add(self, new: list[str]) -> None:
+        """Encode new words by the rebuilt model, hold them against the library, and decode them again."""
         ids = [e.ids for e in self.bare.encode_batch_fast(new, add_special_tokens=False)]
         if self.native is not None:
             cut = int(self.spec.prefix)
@@ -174,21 +174,19 @@ class PieceCoder:
             which = [k for k, w in enumerate(new) if (w[0] == MARK and len(w) > cut) or not cut]
             told = self.native.encode([new[k][cut:].replace(MARK, " ") for k in which], num_threads=self.threads)
             if told != [ids[k] for k in which]:
-                for k, truth in zip(which, told):
-                    if truth != ids[k]:
-                        self.unequal[new[k]] = 1
-                        ids[k] = truth
+                self.unequal.update((new[k], 1) for k, truth in zip(which, told) if truth != ids[k])
         ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
         flat = np.fromiter(chain.from_iterable(ids), np.dtype("<u4"), int(ends[-1]))
         raw, cuts = flat.tobytes(), (4 * ends).tolist()
         self.words.update(zip(new, map(raw.__getitem__, map(slice, [0, *cuts], cuts))))
         if (flat == self.spec.unk).any():
             self.unknown.update((w, i.count(self.spec.unk)) for w, i in zip(new, ids) if self.spec.unk in i)
-        # All words decoded at once, a byte that UTF-8 never has between them.
-        back = b"".join(map(self.octets.__getitem__, np.insert(flat, ends, len(self.octets) - 1).tolist()))
-        want = "\udcff".join([*new, ""]).replace(MARK, " ").encode("utf-8", "surrogateescape")
+        back = self.bare.decode_batch(ids, skip_special_tokens=False)
+        want = [w.replace(MARK, " ") for w in new]
+        if self.spec.prefix:
+            want = [w[1:] if w[:1] == " " else w for w in want]
         if back != want:
-            self.lossy.update((w, 1) for w, x, y in zip(new, back.split(b"\xff"), want.split(b"\xff")) if x != y)
+            self.lossy.update((w, 1) for w, x, y in zip(new, back, want) if x != y)
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, int, bool, int]]:
         """(ids as little-endian unsigned 32-bit, unknown ids, whether decoding gives the normalised
@@ -208,10 +206,9 @@ class PieceCoder:
         return [(b"".join(map(look, words)), total(self.unknown, words), not total(self.lossy, words), total(self.unequal, words)) for words in split]
 
     def decode(self, ids: np.ndarray) -> str:
-        """The text of ids: pieces joined, bytes read as UTF-8, the leading marker dropped."""
-        raw = b"".join(map(self.octets.__getitem__, ids.tolist()))
-        text = raw.decode("utf-8", "replace")
-        return text[1:] if self.spec.prefix and text[:1] == " " else text
+        """The text of ids, by the rebuilt decoder: markers are spaces, bytes are read as UTF-8, the leading
+        marker goes."""
+        return self.bare.decode(ids.tolist(), skip_special_tokens=False)
 
 
 _LOADED: dict[tuple, PieceCoder] = {}
@@ -260,7 +257,8 @@ def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     """(doc_id, n_tokens, n_unknown, ids_crc32, round_trip, n_unequal[, ids]) of every row's whole text.
 
     ``round_trip``: decoding gives the normalised text back (not so where unknown pieces are).
-    ``n_unequal``: words whose ids the sentencepiece library has otherwise (its ids are then taken).
+    ``n_unequal``: words whose ids the sentencepiece library has otherwise; the ids are the rebuilt
+    model's all the same.
     A null or empty text has no ids. Repeated rows and null identifiers are kept.
     """
     short_batches(docs.sparkSession)

@@ -201,6 +201,59 @@ def test_unigram_model_with_byte_fallback(tmp_path, squeeze):
         assert same == (back == coder.normalize(t).replace(pieces.MARK, " ")[int(coder.spec.prefix and bool(t)) :]), t
 
 
+def as_unigram(data):
+    """The same pieces as a unigram model: a piece's score is the logarithm of its rank, as if by Zipf."""
+    out, rank = b"", 1
+    for number, value in pieces.fields(data):
+        if number == 1:
+            piece = dict(pieces.fields(value))
+            rank += 1
+            value = message((1, piece[1]), (2, -math.log(rank) - 2.0), (3, piece.get(3, pieces.NORMAL)))
+        if number == 2:
+            value = message(*((k, 1 if k == 3 else v) for k, v in raw_fields(value)))
+        out += message((number, value))
+    return out
+
+
+def raw_fields(data):
+    """Fields with 32-bit ones as floats, so that they can be written again."""
+    import struct
+
+    for number, value in pieces.fields(data):
+        yield number, struct.unpack("<f", value)[0] if isinstance(value, bytes) and len(value) == 4 and number in (10, 12, 13, 14, 15) else value
+
+
+def test_whole_documents_by_a_unigram_model(docs, texts, tmp_path):
+    """The public model's pieces and scores read as a unigram model, over all documents."""
+    import sentencepiece
+
+    path = tmp_path / "unigram.model"
+    path.write_bytes(as_unigram(open(vocabulary("piece_bpe_32k.model"), "rb").read()))
+    lib = sentencepiece.SentencePieceProcessor(model_file=str(path))
+    coded = pieces.encode_pieces(docs, str(path))
+    rows = {r.doc_id: r for r in coded.collect()}
+    assert pieces.PieceModel(path.read_bytes()).kind == pieces.UNIGRAM
+    # The library adds up a whole text's scores in single precision, so that ties fall otherwise in long ones.
+    differ = [i for i, t in texts.items() if list(rows[i].ids) != lib.encode(t)]
+    by_word = lambda t: sum((lib.encode(w) for w in t.split(" ")), [])
+    assert all(list(rows[i].ids) == by_word(texts[i]) or rows[i].n_unequal > 0 or "  " in texts[i] for i in differ) and len(differ) <= len(texts) // 10
+    assert {r.doc_id: r.text for r in pieces.decode_pieces(coded, str(path)).collect()} == texts
+
+
+def test_disagreement_is_reported_and_not_hidden():
+    coder = pieces.PieceCoder(vocabulary("piece_bpe_32k.model"))
+    own = coder.encode(["some words here"])[0][0]
+
+    class Other:
+        def encode(self, words, num_threads):
+            return [[1] for _ in words]
+
+    coder.words.clear()
+    coder.native = Other()
+    ids, _, same, unequal = coder.encode(["some words here"])[0]
+    assert ids == own and unequal == 3 and same
+
+
 # -- 4 ---------------------------------------------------------------------------------------------
 
 
