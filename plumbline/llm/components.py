@@ -34,7 +34,7 @@ def _step(links: DataFrame, small: bool) -> DataFrame:
 def smallest_reachable(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(a, b): for every node a that reaches a smaller one, the smallest b it reaches.
 
-    ``links`` has long columns a and b in any order; repeats, self links and nulls count for
+    ``links`` has columns a and b of one ordered type, in any order; repeats, self links and nulls count for
     nothing. Raises if it hasn't settled after ``rounds`` (links of n nodes settle in about
     log(n) squared rounds, in practice under ten).
     """

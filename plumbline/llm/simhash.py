@@ -159,19 +159,16 @@ def _runs(spans: np.ndarray):
 
 def _compare(radius: int):
     def run(table: pa.Table) -> pa.Table:
-        parts = [
-            (table.column("fps")[k].values.to_numpy(), table.column("reps")[k].values.to_numpy())
-            for k in np.argsort(table.column("g").to_numpy())
-        ]
-        fps = [np.ascontiguousarray(fp).view(np.uint64) for fp, _ in parts]
+        parts = [table.column("fps")[k].values.to_numpy() for k in np.argsort(table.column("g").to_numpy())]
+        fps = [np.ascontiguousarray(fp).view(np.uint64) for fp in parts]
         own = table.column("ci")[0].as_py() == table.column("cj")[0].as_py()
         if not own and len(fps) < 2:
             root = np.arange(len(fps[0]))
         else:
             root = link_forest(fps[0], None if own else fps[1], radius)
-        reps = np.concatenate([r for _, r in parts])
+        both = np.concatenate(parts)
         moved = root != np.arange(len(root))
-        return pa.table({"a": reps[moved], "b": reps[root[moved]]})
+        return pa.table({"a": both[moved], "b": both[root[moved]]})
 
     return run
 
@@ -200,29 +197,44 @@ def _near(bands, radius: int):
     return first, [(i, first[j], first[j + 1] - 1) for i, a in enumerate(bands) for j, b in enumerate(bands) if gap(a, b, 0) + gap(a, b, 2) <= radius]
 
 
-def components(fps: DataFrame, radius: int = RADIUS, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """(fp, component_id) for each distinct fp of ``fps`` (doc_id, fp): the smallest doc_id that
-    links of at most ``radius`` bits reach. Fingerprints seen only with a null doc_id have none."""
-    spark = fps.sparkSession
-    distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).filter("rep is not null"), "simhash-distinct")
+def cells(distinct: DataFrame, radius: int, group_rows: int, lists: dict[str, str]) -> DataFrame:
+    """Pairs of groups that may hold a link, a row for each side: (ci, cj, g and a list for each entry of
+    ``lists``, of the column it names). ``distinct`` has a column fp and is a written table."""
     low, high = F.bit_count(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))), F.bit_count(F.shiftrightunsigned("fp", 32))
     marked = distinct.withColumns({"low": low.cast("int"), "high": high.cast("int")})
     # At most 33 x 33 rows, whatever the input.
     counts = {(r.low, r.high): r["count"] for r in marked.groupBy("low", "high").count().collect()}
     of, bands = _bands(counts, min(group_rows, max(1, math.ceil(sum(counts.values()) / MIN_GROUPS))))
     first, near = _near(bands, radius)
-    # Both tables are bounded by the number of classes.
-    classes = spark.createDataFrame([(*c, b, first[b], bands[b][4]) for c, b in of.items()], "low int, high int, band int, first long, groups long")
-    near = spark.createDataFrame(near, "band int, from long, to long")
-    named = marked.join(F.broadcast(classes), ["low", "high"])
-    dealt = named.groupBy("band", (F.col("first") + F.pmod(F.xxhash64("fp"), F.col("groups"))).alias("g")).agg(F.collect_list("fp").alias("fps"), F.collect_list("rep").alias("reps"))
-    cells = dealt.join(F.broadcast(near), "band").withColumn("other", F.explode(F.sequence("from", "to"))).select(
-        F.least("g", "other").alias("ci"), F.greatest("g", "other").alias("cj"), "g", "fps", "reps"
+    return deal(marked, ["low", "high"], of, first, [x[4] for x in bands], near, lists)
+
+
+def deal(marked: DataFrame, keys: list[str], of: dict[tuple, int], first: list[int], groups: list[int], near: list[tuple[int, int, int]], lists: dict[str, str]) -> DataFrame:
+    """Rows gathered into groups, and groups into pairs: ``of`` has the band of each class (the values of
+    ``keys``), ``first`` and ``groups`` the first group of each band and how many it has, ``near`` the
+    groups (band, from, to) that a band meets. All of these are bounded by the number of classes."""
+    spark = marked.sparkSession
+    named = ", ".join(f"{k} int" for k in keys)
+    classes = spark.createDataFrame([(*c, b, int(first[b]), groups[b]) for c, b in of.items()], f"{named}, band int, first long, groups long")
+    near = spark.createDataFrame([(b, int(i), int(j)) for b, i, j in near], "band int, from long, to long")
+    spread = F.pmod(F.xxhash64(*dict.fromkeys(["fp", *lists.values()])), F.col("groups"))
+    dealt = marked.join(F.broadcast(classes), keys).groupBy("band", (F.col("first") + spread).alias("g")).agg(*(F.collect_list(c).alias(name) for name, c in lists.items()))
+    return dealt.join(F.broadcast(near), "band").withColumn("other", F.explode(F.sequence("from", "to"))).select(
+        F.least("g", "other").alias("ci"), F.greatest("g", "other").alias("cj"), "g", *lists
     )
-    links = cells.groupBy("ci", "cj").applyInArrow(_compare(radius), "a long, b long")
+
+
+def components(fps: DataFrame, radius: int = RADIUS, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """(fp, component_id) for each distinct fp of ``fps`` (doc_id, fp): the smallest doc_id that
+    links of at most ``radius`` bits reach. Fingerprints that only rows without a doc_id have, and link to
+    no other, have none."""
+    distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-distinct")
+    links = cells(distinct, radius, group_rows, {"fps": "fp"}).groupBy("ci", "cj").applyInArrow(_compare(radius), "a long, b long")
+    # Links join fingerprints: an identifier that several texts have would join what isn't alike.
     roots = smallest_reachable(links)
-    named = distinct.join(roots, distinct.rep == roots.a, "left").select("fp", F.coalesce("b", "rep").alias("component_id"))
-    return materialize(named, "simhash-components")
+    placed = distinct.join(roots, distinct.fp == roots.a, "left").select("fp", "rep", F.coalesce("b", "fp").alias("root"))
+    smallest = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
+    return materialize(placed.join(smallest, "root").select("fp", "component_id"), "simhash-components")
 
 
 def _linked(docs: DataFrame, id_col: str, text_col: str, radius: int) -> DataFrame:
@@ -249,7 +261,11 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     other rows have its identifier. Rows without an identifier go if their group has a document
     with one and stay if it has none. Rows of a group that all have its smallest identifier
     are one document and stay together."""
-    marked = _linked(docs, id_col, text_col, radius)
+    return without_copies(docs, _linked(docs, id_col, text_col, radius), id_col, text_col)
+
+
+def without_copies(docs: DataFrame, marked: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` without the rows whose (doc_id, same) has a component_id that isn't the doc_id."""
     gone = marked.filter("component_id is not null and not (doc_id <=> component_id)").select(F.col("doc_id").alias(_GONE_ID), F.col("same").alias(_GONE_TEXT)).distinct()
     here = F.col(id_col).cast("long").eqNullSafe(F.col(_GONE_ID)) & (F.xxhash64(utf8(text_col)) == F.col(_GONE_TEXT))
     return docs.join(gone, here, "left_anti")

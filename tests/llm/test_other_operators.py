@@ -341,9 +341,8 @@ def test_calls_written_into_messages(spark):
 
 def test_pipeline_stages_and_result(spark, tmp_path):
     import corpus_pipeline
-    from plumbline.llm import pii, quality, simhash
-    from plumbline.llm.registry import vocabulary
-    from tests.llm.test_text_operators import brute_base, brute_components, brute_fingerprint, check_packing
+    from plumbline.llm import pii, quality
+    from tests.llm.test_text_operators import brute_base, brute_groups, brute_quality, check_packing
 
     d = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{d}/documents.parquet")
@@ -356,11 +355,14 @@ def test_pipeline_stages_and_result(spark, tmp_path):
         if k < 3:
             assert now.columns == docs.columns
         if name == "quality":
-            good = {r.doc_id for r in quality.score_quality(docs, spark.read.parquet(f"{d}/labels.parquet")).filter("predicted = 1").collect()}
+            model = quality.fit_quality(docs, spark.read.parquet(f"{d}/labels.parquet"))
+            scores = {i: brute_quality(model, (r.text or "").encode()) for i, r in kept.items()}
+            assert all(abs(x - 0.7) > 1e-3 for x in scores.values())
+            good = {i for i, x in scores.items() if x >= 0.7}
             assert {r.doc_id for r in rows} == good and len(good) < len(kept)
         elif name == "near_duplicates":
-            root = brute_components({i: brute_fingerprint(r.text) for i, r in kept.items()})
-            assert {r.doc_id for r in rows} == set(root.values())
+            # Five words and a similarity of 0.8, by whole shingle sets over all pairs.
+            assert {r.doc_id for r in rows} == set(brute_groups([(i, r.text) for i, r in kept.items()])) and len(rows) < len(kept)
         elif name == "personal_data":
             for r in rows:
                 assert r.text == pii.mask(kept[r.doc_id].text, pii.all_spans(kept[r.doc_id].text)[1]) and not [s for s in brute_base(r.text)]
@@ -370,7 +372,6 @@ def test_pipeline_stages_and_result(spark, tmp_path):
         if k < 3:
             kept = {r.doc_id: r for r in rows}
     assert corpus_pipeline.run(spark, d).count() == now.count()
-    del simhash, vocabulary
 
 
 def test_pipeline_on_empty_documents(spark, tmp_path):

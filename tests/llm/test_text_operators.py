@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from plumbline.llm import ngrams, packing, pieces, pii, quality, simhash, telephony, wordids
+from plumbline.llm import nearcopies, ngrams, packing, pieces, pii, quality, simhash, telephony, wordids
 from plumbline.llm.registry import vocabulary
 
 ODD = [
@@ -125,6 +125,105 @@ def test_groups_by_bit_counts_lose_no_link(spark, group_rows):
     assert [got[fp] for _, fp in rows] == root.tolist()
 
 
+def brute_shingles(text, n=5):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return frozenset(tuple(words[k : k + n]) for k in range(max(1, len(words) - n + 1))) if words else frozenset()
+
+
+def brute_groups(texts, similarity=0.8):
+    """texts: [(doc, text)] → the smallest doc that links by exact shingle sets reach, row by row."""
+    sets = [brute_shingles(t) for _, t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i + 1, len(texts)):
+            if sets[i] == sets[j] or (sets[i] and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j])):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    least = {}
+    for k, (doc, _) in enumerate(texts):
+        if doc is not None:
+            least[find(k)] = min(doc, least.get(find(k), doc))
+    return [least.get(find(k)) for k in range(len(texts))]
+
+
+def edited(g, words, edits):
+    words = list(words)
+    for _ in range(edits):
+        words[g.randrange(len(words))] = f"edit{g.randrange(10**6)}"
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("group_rows", [1 << 18, 40])
+def test_similar_groups_against_brute_force(spark, docs, texts, group_rows):
+    """The test documents, and families of copies with more and more words changed, each from the one
+    before or from the first."""
+    g = random.Random(11)
+    rows = list(texts.items())
+    for family in range(12):
+        words = [f"f{family}w{g.randrange(300)}" for _ in range(g.choice([60, 200, 500]))]
+        last = words
+        for k in range(8):
+            text = edited(g, last if family % 2 else words, g.randint(0, len(words) // 40))
+            rows.append((10_000 + 100 * family + k, text))
+            last = text.split(" ")
+    rows += [(None, rows[-1][1]), (None, "an identifier less text"), (3, rows[-1][1]), (20_000, None), (20_001, " \t "), (20_002, "four words are one")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS node", "2 AS same", "3 AS fp")
+    got = Counter((r.doc_id, r.component_id) for r in nearcopies.similar_groups(df, group_rows=group_rows).collect())
+    assert got == Counter((i, c) for (i, _), c in zip(rows, brute_groups(rows)))
+    kept = nearcopies.drop_similar(df)
+    assert kept.columns == df.columns
+    want = Counter((i, t) for (i, t), c in zip(rows, brute_groups(rows)) if c is None or c == i)
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == want
+
+
+def test_similar_odd(odd, none):
+    kept = nearcopies.drop_similar(odd)
+    assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} == {1, None, 4, 5, 6, -8}
+    assert nearcopies.drop_similar(none).count() == 0
+
+
+def test_best_forest_is_spanning_and_best():
+    g = random.Random(4)
+    for _ in range(40):
+        n = g.randint(2, 40)
+        pairs = [(g.randrange(n), g.randrange(n), g.randint(1, 9)) for _ in range(g.randint(1, 150))]
+        pairs = [p for p in pairs if p[0] != p[1]]
+        f = nearcopies.BestForest(n)
+        for k in range(0, len(pairs), 7):
+            f.add(*(np.array(c) for c in zip(*pairs[k : k + 7])), np.zeros(len(pairs[k : k + 7]), bool))
+        u, v, w = f.edges()
+
+        def tree(edges):
+            root, total, used = list(range(n)), 0, 0
+            for a, b, x in sorted(edges, key=lambda e: -e[2]):
+                while root[a] != a:
+                    a = root[a]
+                while root[b] != b:
+                    b = root[b]
+                if a != b:
+                    root[b], total, used = a, total + x, used + 1
+            return total, used
+
+        assert tree(pairs) == (w.sum(), len(w)) == tree(list(zip(u.tolist(), v.tolist(), w.tolist())))
+
+
+def test_one_identifier_of_unlike_texts_joins_nothing(spark):
+    """(3, X') links to (1, X); what else has identifier 3 doesn't."""
+    g = random.Random(1)
+    words = [f"w{k}" for k in range(400)]
+    x, y, own = " ".join(words), edited(g, words, 1), "a text that nothing else is like, of a few words"
+    assert 0 < (brute_fingerprint(x) ^ brute_fingerprint(y)).bit_count() <= 4
+    rows = [(1, x), (3, own), (3, y), (5, own + " once more")]
+    got = {(r.doc_id, r.fingerprint): r.component_id for r in simhash.simhash_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(i, f"{brute_fingerprint(t):016x}"): c for (i, t), c in zip(rows, (1, 3, 1, 5))}
+
+
 def test_components_of_a_long_chain_and_a_hub(spark):
     from plumbline.llm.components import smallest_reachable
 
