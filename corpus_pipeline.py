@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from plumbline.llm.nearcopies import drop_similar
 from plumbline.llm.packing import pack_documents
 from plumbline.llm.pii import mask_pii
 from plumbline.llm.quality import keep_good
 from plumbline.llm.registry import vocabulary
-from plumbline.llm.simhash import drop_near_duplicates
 from plumbline.plans.shared import materialize
 
 
@@ -23,8 +23,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest identifier."""
-    return drop_near_duplicates(docs)
+    """One document of each group of near copies (five-word shingles, similarity 0.8) stays: the one with
+    the smallest identifier."""
+    return drop_similar(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
