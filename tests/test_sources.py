@@ -45,6 +45,98 @@ def test_scores(spark, tmp_path):
     assert [r.id for r in tables.read_scores(spark, str(cut), partial=True).collect()] == ["a"]
 
 
+def test_lines_and_rows_are_numbered_across_splits(spark, tmp_path):
+    """Files of many splits and of several files: every line has its physical number, every row its place."""
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    g = np.random.default_rng(2)
+    many = [{"text": "x" * int(n), "label": "ai"} for n in g.integers(1, 200, 400)]
+    p = put(tmp_path / "c.jsonl", *("" if k % 7 == 3 else r for k, r in enumerate(many)))
+    for name, n in (("s1.csv", 300), ("s2.csv", 50)):
+        put(tmp_path / "rows" / name, "label,score", *(f"human,{k}.5" for k in range(n))) if (tmp_path / "rows").mkdir(exist_ok=True) is None else None
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+        rows = tables.read_labelled(spark, p)
+        assert rows.rdd.getNumPartitions() >= 1 and spark.read.text(p).rdd.getNumPartitions() > 5
+        assert {(r.line, r.id, len(r.text)) for r in rows.collect()} == {(k, f"c-{k}", len(r["text"])) for k, r in enumerate(many) if k % 7 != 3}
+        got = tables.read_scores(spark, str(tmp_path / "rows")).orderBy("row_ix").collect()
+        assert [r.row_ix for r in got] == list(range(350)) and [r.score for r in got] == [k + 0.5 for k in [*range(300), *range(50)]]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    broken = put(tmp_path / "m.csv", "id,label,score", '"a', 'b",human,1')
+    assert tables.read_scores(spark, broken, multi_line=True).first().id == "a\nb"
+    with pytest.raises(Refusal):
+        tables.read_scores(spark, broken)
+
+
+def test_reports_that_a_user_has(spark, tmp_path):
+    out = tmp_path / "r"
+    out.mkdir()
+    with pytest.raises(Refusal, match="not a report"):
+        receipts.load_report(spark, f"file://{out}")
+    put(out / "scores.csv", "id,label,score", *(f"r{k},{'ai' if k % 2 else 'human'},{k}" for k in range(6)))
+    scores, env = receipts.load_report(spark, f"file://{out}")
+    assert sorted((r.score, r.y) for r in scores.collect()) == [(float(k), k % 2) for k in range(6)] and env["detector"] == "unknown"
+    with pytest.raises(Refusal, match="lacks"):
+        receipts.load_instrument(spark, f"file://{out}")
+    (out / "env.json").write_text('{"detector": {"name": "d"}}')
+    (out / "results.json").write_text('{"auroc": 0.5}')
+    assert receipts.load_report(spark, f"file://{out}")[1] == {"detector": {"name": "d"}, "corpus": "unknown", "version": "unknown"}
+    put(out / "scores.csv", "id,label,score", "a,human,1", "b,robot,2")
+    scores, env, results = receipts.load_instrument(spark, f"file://{out}")
+    assert sorted(map(tuple, scores.collect())) == [(1.0, 0), (2.0, 1)] and results == {"auroc": 0.5}
+
+
+def test_run_state(spark, tmp_path):
+    out, corpus = f"file://{tmp_path}/run", {"name": "c", "sha256": "0", "counts": {"ai": 1}}
+    with pytest.raises(Refusal, match="no run"):
+        receipts.read_run(spark, out)
+    assert not receipts.begin_run(spark, out, corpus, {"detector": "d", "device": "cpu"}, "again")["complete"]
+    assert receipts.begin_run(spark, out, corpus, {"detector": "d", "device": "cpu"})["reproduce"] == "again"
+    for other in ((corpus | {"sha256": "1"}, {"detector": "d", "device": "cpu"}, "corpus.sha256"), (corpus, {"detector": "d", "device": "gpu"}, "device")):
+        with pytest.raises(Refusal, match=other[2]):
+            receipts.begin_run(spark, out, *other[:2])
+    assert receipts.complete_run(spark, out)["complete"] and receipts.read_run(spark, out)["complete"]
+
+
+def test_content_hashes(spark, tmp_path):
+    import hashlib
+
+    from plumbline.operators import probes
+
+    rows = [probe(id=f"p{k}", vintage=f"t{k % 2}", answer="Straße 東") | {"_note": k} for k in range(9)]
+    want = {}
+    for r in rows:
+        want.setdefault(r["vintage"], []).append(json.dumps({k: v for k, v in r.items() if k != "_note"}, sort_keys=True))
+    for order in (rows, rows[::-1]):
+        got = probes.content_hashes(tables.probe_rows(spark, put(tmp_path / "p.jsonl", *order))).collect()
+        assert {r.vintage: (r.n, r.content_hash) for r in got} == {v: (len(x), hashlib.sha256("\n".join(sorted(x)).encode()).hexdigest()) for v, x in want.items()}
+    assert probes.content_hashes(spark.createDataFrame([(None, "{}"), ("t", None)], "vintage string, json string")).count() == 0
+    one = probes.template_fingerprint("Is {answer} right?", {"t": " yes", "f": " no"}, "1")
+    assert one != probes.template_fingerprint("Is {answer} right!", {"t": " yes", "f": " no"}, "1") and len(one["template_sha256"]) == 64
+
+
+def test_remote_revision_and_cached_download(tmp_path):
+    from plumbline.sources.paged import TooMany, cached, retrying, revision
+
+    assert revision(lambda: {"sha": "abc"}) == "abc" and revision(lambda: {}) == "unknown"
+    waits, left = [], [TooMany(), TooMany(after=9.0), OSError("reset")]
+
+    def busy():
+        if left:
+            raise left.pop(0)
+        return "ok"
+
+    assert retrying(busy, sleep=waits.append) == "ok" and waits == [2.0, 9.0, 3.0]
+    at, calls = str(tmp_path / "f"), []
+
+    def chunks():
+        calls.append(1)
+        yield b"one"
+        yield b"two"
+
+    assert cached(cached(at, chunks), chunks) == at and (tmp_path / "f").read_bytes() == b"onetwo" and len(calls) == 1 and not (tmp_path / "f.part").exists()
+
+
 def probe(**over):
     return {"id": "p1", "prompt": "q", "answer": "a", "vintage": "t0", "source": "s", "source_date": "2024-02-01", "authored": "2024-02-02", "aliases": ["b"]} | over
 

@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.operators import bounds, curves, drift, probes, resample, shift, strata
 
@@ -183,3 +184,115 @@ def test_running_totals(spark):
     df = spark.createDataFrame([(float(k), int(v)) for k, v in enumerate(g)], "k double, v long")
     got = [r.v_upto for r in running_totals(df, "k", ["v"]).orderBy("k").collect()]
     assert got == np.cumsum(g).tolist()
+
+
+def test_replicates_are_those_of_one_draw(spark):
+    """Slices and ranks give what whole matrices of resamples and sorting give, bit for bit."""
+    g = np.random.default_rng(3)
+    rows = [(k, float(round(x, 1)), int(k % 3 == 0)) for k, x in enumerate(g.normal(size=700))]
+    s = spark.createDataFrame(rows, "doc_id long, score double, y int")
+    neg, pos = (np.array([x for _, x, c in rows if c == k]) for k in (0, 1))
+    h = np.random.default_rng(17)
+    a, b = h.choice(neg, (300, len(neg))), h.choice(pos, (300, len(pos)))
+    found = [resample.area(x, y) for x, y in zip(a, b)]
+    before, resample._AT_ONCE = resample._AT_ONCE, 5000
+    try:
+        own = lambda x, y: resample.area(x, y)
+        for statistic in (resample.area, own):
+            r = resample.exact_ci(s, statistic, "doc_id", n_boot=300).first()
+            assert (r.lo, r.hi) == pytest.approx(tuple(np.quantile(found, [0.025, 0.975])), abs=1e-15) and r.n_boot_used == 300
+    finally:
+        resample._AT_ONCE = before
+
+
+@pytest.mark.parametrize("kinds", [1, 3, 400])
+def test_swept_area_by_brute_force(spark, kinds):
+    """Ties within and across ranges, a score that most rows have."""
+    g = np.random.default_rng(kinds)
+    rows = [(k, float(g.integers(0, kinds)) if g.random() < 0.5 else 0.0, int(g.integers(0, 2))) for k in range(900)]
+    s = spark.createDataFrame(rows, "doc_id long, score double, y int").repartition(5)
+    got = resample.swept_area_ci(s, "doc_id", n_boot=40).first()
+    x = s.select("score", "y", F.xxhash64("doc_id", F.lit(17)).alias("h")).toPandas()
+    w = resample._poisson_weights(x["h"].to_numpy(), 40)
+    one = x["y"].to_numpy() == 1
+    won = (x["score"].to_numpy()[one, None] > x["score"].to_numpy()[None, ~one]) + 0.5 * (x["score"].to_numpy()[one, None] == x["score"].to_numpy()[None, ~one])
+    each = [w[one, k] @ won @ w[~one, k] / (w[one, k].sum() * w[~one, k].sum()) for k in range(40)]
+    assert got.value == pytest.approx(won.mean()) and (got.lo, got.hi) == pytest.approx(tuple(np.quantile(each, [0.025, 0.975]))) and got.n_boot == 40
+
+
+def test_weighted_interval_of_any_statistic(spark, sf):
+    from plumbline.plans.tables import scored
+
+    gap = lambda w: w.groupBy("replicate").agg((F.sum(F.col("one") * F.col("score")) / F.sum("one") - F.sum(F.col("zero") * F.col("score")) / F.sum("zero")).alias("value"))
+    s = scored(spark, sf)
+    r = resample.weighted_ci(s, "doc_id", gap, 30).first()
+    m = {x.y: x.m for x in s.groupBy("y").agg(F.avg("score").alias("m")).collect()}
+    assert r.n_boot == 30 and r.lo < m[1] - m[0] < r.hi
+
+
+def test_quantiles_from_running_totals(spark):
+    from plumbline.operators import shift
+
+    g = np.random.default_rng(5)
+    r, c = g.integers(0, 40, 301).astype(float), g.normal(20, 5, 77).round(1)
+    frame = lambda x: spark.createDataFrame([(float(v),) for v in x], "score double")
+    for row in shift.quantile_shift(frame(r), frame(c), (0.0, 0.1, 0.37, 0.5, 1.0)).collect():
+        assert (row.reference_q, row.candidate_q) == pytest.approx((np.quantile(r, row.q), np.quantile(c, row.q)))
+    long = spark.createDataFrame([("a", float(v)) for v in r] + [("b", 1.0), ("b", 2.0), ("c", 7.0)], "k string, v double")
+    assert {x.k: x.m for x in shift.medians(long, ["k"], "v").collect()} == pytest.approx({"a": np.median(r), "b": 1.5, "c": 7.0})
+
+
+def test_answers_in_any_script(spark):
+    from plumbline.functions.text import normalize_any
+
+    cases = {"The Answer": "answer", "the the answer": "the answer", "the": "the", "U.S.": "us", "well-known": "wellknown", "A Straße": "strasse", "ﬁve": "five", "「東京」 タワー": "東京 タワー", "A—B": "ab", "an\u3000Ära!": "ära", "": "", "a\n": "a"}
+    df = spark.createDataFrame([(k,) for k in cases] + [(None,)], "t string")
+    assert {r.t: r.n for r in df.select("t", normalize_any("t").alias("n")).collect()} == cases | {None: ""}
+
+
+def test_a_report_for_people_leaves_out_what_grows_with_the_rows(spark, tmp_path):
+    from plumbline.sources.receipts import write_report
+
+    s = spark.range(300).selectExpr("cast(id as double) AS score", "cast(id % 2 as int) AS y")
+    write_report(f"file://{tmp_path}/r", s, {"roc": curves.roc_curve(s), "auroc": curves.auroc(s)}, {})
+    text = (tmp_path / "r/report.md").read_text()
+    assert "## auroc" in text and "## roc" not in text and spark.read.json(f"file://{tmp_path}/r/roc").count() == 300
+
+
+def test_a_cluster_without_a_shared_folder_is_refused(spark):
+    from plumbline.plans import shared
+
+    class Unset:
+        """A context of a cluster without a checkpoint folder."""
+
+        def isDefined(self):
+            return False
+
+        def getCheckpointDir(self):
+            return self
+
+        def sc(self):
+            return self
+
+    class Context:
+        master = "spark://host:7077"
+        applicationId = "x"
+        _jsc = Unset()
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared.shared_dir(Session())
+    at = shared.write_table(spark.range(3).groupBy("id").count(), "t")
+    assert spark.read.parquet(at).count() == 3 and spark.conf.get(shared._CLEANUP) == "false"
+
+
+def test_class_floor_refuses_rather_than_answers(spark):
+    s = spark.createDataFrame([(float(k), int(k < 49)) for k in range(200)], "score double, y int")
+    for df, col in ((curves.auroc(s), "auroc"), (curves.equal_error_rate(s), "eer"), (curves.threshold_at_fpr(s), "threshold")):
+        assert all(r[col] is None and r.refusal == "needs 50 rows of each class, has 151 and 49" for r in df.collect())
+    assert curves.roc_curve(s).count() == 0
