@@ -242,12 +242,17 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     raws = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("raw")).withColumn("same", F.xxhash64("raw"))
     rows = materialize(raws.mapInArrow(_described, _DESCRIBED), "near-rows")
     first = lambda c: F.any_value(c).alias(c)
-    nodes = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("same").alias("same"), first("fp"), first("many"), first("sketch")), "near-nodes")
+    nodes = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "same"))["same"].alias("same"), first("fp"), first("many"), first("sketch")), "near-nodes")
     lists = {"fps": "fp", "manys": "many", "sketches": "sketch", "nodes": "node"}
     edges = cells(nodes.filter("many > 0"), similarity, group_rows, lists).groupBy("ci", "cj").applyInArrow(_compare(radius, similarity), "a binary, b binary")
     edges = materialize(edges.distinct(), "near-edges")
-    involved = nodes.join(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("same")
-    sets = raws.join(involved.distinct(), "same", "left_semi").dropDuplicates(["same"]).select("raw").mapInArrow(_sets, "node binary, members binary")
+    involved = nodes.join(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("rep", F.col("same").alias("its")).distinct()
+    # A node's set is made from one row's text, found by identifier and text, so that copies don't meet;
+    # rows without an identifier lose their copies before they are dealt.
+    named, nameless = raws.filter("doc_id IS NOT NULL"), raws.filter("doc_id IS NULL").dropDuplicates(["same"])
+    chosen = named.unionByName(nameless).join(involved, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("same") == F.col("its")), "left_semi")
+    # Repeated rows of one identifier and text come out as one set.
+    sets = chosen.select("raw").mapInArrow(_sets, "node binary, members binary").groupBy("node").agg(F.any_value("members").alias("members"))
     sets = materialize(sets, "near-sets")
     of = lambda end: sets.select(F.col("node").alias(end), F.col("members").alias(f"of_{end}"))
     met = edges.join(of("a"), "a").join(of("b"), "b").select("a", "b", "of_a", "of_b")
