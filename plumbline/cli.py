@@ -130,8 +130,7 @@ def admit(a):
 
     spark = _spark()
     r, c = read_scores(spark, a.reference), read_scores(spark, a.candidate, labelled=False)
-    if a.mode != "all":
-        r = r.filter(r.label == a.mode)
+    r = shift.reference_rows(r, a.mode)
     write_report(a.out, shift.placements(r, c).drop("meta"), admission_tables(r, c, key="row_ix"), {"reference": a.reference, "candidate": a.candidate}, "Admission")
 
 

@@ -16,6 +16,16 @@ QUANTILES = (0.1, 0.5, 0.9)
 CANDIDATE_FLOOR = 20
 
 
+MODES = ("all", "human", "ai")
+
+
+def reference_rows(scores: DataFrame, mode: str = "all") -> DataFrame:
+    """The reference that candidates are held against: all labelled rows or those of one class."""
+    if mode not in MODES:
+        raise ValueError(f"a reference is one of {', '.join(MODES)}, not {mode}")
+    return scores if mode == "all" else scores.filter(F.col("label") == mode)
+
+
 def two_sample(reference: DataFrame, candidate: DataFrame) -> DataFrame:
     """(score, ref, cand, ref_upto, cand_upto, n_ref, n_cand) at each score of either."""
     both = reference.select("score", F.lit(1).alias("r")).unionByName(candidate.select("score", F.lit(0).alias("r")))

@@ -6,6 +6,8 @@ majority. Plain numpy; all blocks of an image at once."""
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -92,6 +94,58 @@ def decode(image: np.ndarray, n_bytes: int) -> bytes:
     return np.packbits(mean * 255 > 127).tobytes()
 
 
+_PNG = b"\x89PNG\r\n\x1a\n"
+#: Channels of PNG colour types that have 8-bit samples of their own.
+_CHANNELS = {0: 1, 2: 3, 4: 2, 6: 4}
+
+
+def read_png(data: bytes) -> np.ndarray:
+    """(rows, columns, 3) pixels of a PNG with 8-bit samples that isn't interlaced; grey is spread over
+    three channels, transparency is left out."""
+    if data[:8] != _PNG:
+        raise ValueError("not a PNG")
+    at, parts, head = 8, [], None
+    while at < len(data):
+        n, kind = int.from_bytes(data[at : at + 4], "big"), data[at + 4 : at + 8]
+        body = data[at + 8 : at + 8 + n]
+        if zlib.crc32(kind + body) != int.from_bytes(data[at + 8 + n : at + 12 + n], "big"):
+            raise ValueError("a chunk of the PNG is damaged")
+        if kind == b"IHDR":
+            head = (int.from_bytes(body[:4], "big"), int.from_bytes(body[4:8], "big"), *body[8:13])
+        elif kind == b"IDAT":
+            parts.append(body)
+        at += 12 + n
+    if head is None or head[2] != 8 or head[3] not in _CHANNELS or head[6]:
+        raise ValueError("only PNGs with 8-bit samples, without palette or interlacing")
+    columns, rows, wide = head[0], head[1], _CHANNELS[head[3]]
+    raw = np.frombuffer(zlib.decompress(b"".join(parts)), np.uint8).reshape(rows, 1 + columns * wide)
+    out, above = np.zeros((rows, columns, wide), np.uint8), np.zeros((columns, wide), np.uint8)
+    for k in range(rows):
+        out[k] = above = _unfilter(raw[k, 0], raw[k, 1:].reshape(columns, wide), above)
+    return np.repeat(out[:, :, :1], 3, axis=2) if wide < 3 else out[:, :, :3].copy()
+
+
+def _unfilter(kind: int, line: np.ndarray, above: np.ndarray) -> np.ndarray:
+    """One row of samples from its filtered form."""
+    if kind == 0:
+        return line
+    if kind == 1:
+        return np.cumsum(line, axis=0, dtype=np.uint64).astype(np.uint8)
+    if kind == 2:
+        return line + above
+    out, left, corner = np.empty_like(line), np.zeros(line.shape[1], np.int64), np.zeros(line.shape[1], np.int64)
+    for x in range(len(line)):
+        up = above[x].astype(np.int64)
+        if kind == 3:
+            guess = (left + up) // 2
+        else:
+            near = np.abs(np.stack([up - corner, left - corner, left + up - 2 * corner]))
+            guess = np.where((near[0] <= near[1]) & (near[0] <= near[2]), left, np.where(near[1] <= near[2], up, corner))
+        out[x] = (line[x] + guess) & 255
+        left, corner = out[x].astype(np.int64), up
+    return out
+
+
 def decode_images(images: DataFrame, n_bytes: int) -> DataFrame:
     """(path, payload, status) of raw images (path, content, rows, columns); small ones can't say."""
 

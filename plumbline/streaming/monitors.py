@@ -84,6 +84,38 @@ def append_new(path: str):
     return sink
 
 
+class Reservoir:
+    """A uniform sample of a stream, n of each cell, in one pass: of what it has and what comes, the rows
+    that sort first by key stay. The state is a table of at most n rows a cell, one version for each
+    micro-batch; a replayed batch starts from the version before it, so nothing counts twice."""
+
+    def __init__(self, path: str, by: list[str], n: int, id_col: str = "id"):
+        self.path, self.by, self.n, self.id_col = path.rstrip("/"), by, n, id_col
+
+    def _versions(self, spark) -> list[int]:
+        from plumbline.sources.receipts import _fs
+
+        at, fs = _fs(spark, self.path)
+        names = [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
+        return sorted(int(x[6:]) for x in names if x.startswith("epoch=") and fs.exists(_fs(spark, f"{self.path}/{x}/_SUCCESS")[0]))
+
+    def __call__(self, batch: DataFrame, epoch: int) -> None:
+        from plumbline.operators.sampling import first_of_each
+
+        spark = batch.sparkSession
+        before = [v for v in self._versions(spark) if v < epoch]
+        rows = batch.dropDuplicates([*self.by, self.id_col])
+        if before:
+            held = spark.read.schema(batch.schema).parquet(f"{self.path}/epoch={before[-1]}")
+            rows = held.unionByName(rows.join(held, [*self.by, self.id_col], "left_anti"))
+        first_of_each(rows, self.by, self.n, self.id_col).write.mode("overwrite").parquet(f"{self.path}/epoch={epoch}")
+
+    def read(self, spark, schema) -> DataFrame:
+        """The sample as it is now."""
+        versions = self._versions(spark)
+        return spark.read.schema(schema).parquet(f"{self.path}/epoch={versions[-1]}") if versions else spark.createDataFrame([], schema)
+
+
 def run_once(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> None:
     """Everything that is there now, to Parquet."""
     stream.writeStream.outputMode(mode).format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
