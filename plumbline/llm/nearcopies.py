@@ -3,11 +3,12 @@
 A text is the set of its shingles of five words. Texts with one set are one node. Nodes are compared
 as in :mod:`plumbline.llm.simhash`: every pair of fingerprints meets in a tile, by exclusive-or and bit
 counts. The radius is wide enough for the similarity asked for (``RADIUS`` bits hold 99.97 % of pairs at
-a similarity of exactly 0.8), so it also lets pairs through that are alike by chance;
-a sketch of each set, a byte for the least hash in each of ``BINS`` bins, rules those out in the tile.
-What a task returns is a forest, of the most similar pairs that it has, so a group of copies never
-leaves as all its pairs. Each edge of the forests is then decided by the two whole sets, and the
-links that stand are joined to groups.
+a similarity of exactly 0.8), so it also lets pairs through that are alike by chance; a sketch of each
+set, a byte for the least hash in each of ``BINS`` bins, rules those out in the tile. This first pass
+says which nodes may have a link at all: few of most corpora. The second pass compares those alone, in
+the same tiles, and decides by the two whole sets. A pair whose ends are linked already is passed over,
+so a group of copies is never weighed, nor sent on, as all its pairs; the links that a task finds leave it
+as a spanning forest. What stands doesn't depend on the order in which rows come.
 """
 
 from __future__ import annotations
@@ -26,10 +27,10 @@ from plumbline.plans.shared import materialize
 
 WORDS, SIMILARITY, RADIUS = 5, 0.8, 20
 BINS = 128
-#: How far a sketch may fall short of the similarity (about 3.5 standard deviations), and from where on a
-#: pair counts as linked within a task, so that a group's other pairs needn't be weighed.
-_SHORT, _SURE = 0.12, 0.93
-_HELD = 1 << 20
+#: How far a sketch may fall short of the similarity (about 3.5 standard deviations).
+_SHORT = 0.12
+#: Bytes of sets in a group of the second pass (about): two groups are a task's memory.
+_GROUP_BYTES = 24 << 20
 #: Logarithm of the size ratio of neighbouring size classes.
 _CLASS = math.log(1.05)
 
@@ -92,40 +93,6 @@ def _described(batches):
 _DESCRIBED = "doc_id long, same long, node binary, fp long, many long, sketch binary"
 
 
-class BestForest:
-    """A spanning forest of the best of many edges; weights are whole numbers, edges come in arrays."""
-
-    def __init__(self, n: int):
-        self.n, self.held, self.size = n, [], 0
-        self.sure = simhash.Forest(n)
-
-    def add(self, u: np.ndarray, v: np.ndarray, weight: np.ndarray, sure: np.ndarray) -> None:
-        if sure.any():
-            self.sure.add(u[sure], v[sure])
-        self.held.append((u, v, weight))
-        self.size += len(u)
-        if self.size > _HELD:
-            self.held = [self.edges()]
-            self.size = len(self.held[0][0])
-
-    def edges(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        if not self.held:
-            return (np.empty(0, np.int64),) * 3
-        u, v, weight = (np.concatenate(c) for c in zip(*self.held))
-        forest, kept = simhash.Forest(self.n), []
-        for level in np.unique(weight)[::-1]:
-            at = np.flatnonzero(weight == level)
-            while len(at):
-                ru, rv = forest.root[u[at]], forest.root[v[at]]
-                at, high = at[ru != rv], np.maximum(ru, rv)[ru != rv]
-                # One edge for each root that has a smaller one beside it: hooked downwards, they close no ring.
-                _, pick = np.unique(high, return_index=True)
-                kept.append(at[pick])
-                forest.add(u[at[pick]], v[at[pick]])
-        kept = np.concatenate(kept) if kept else np.empty(0, np.int64)
-        return u[kept], v[kept], weight[kept]
-
-
 def _tiles(fp: np.ndarray, many: np.ndarray):
     """Order by set size, and the tiles: (from, to, least and most members, least and most bits set)."""
     order = np.argsort(many, kind="stable")
@@ -135,15 +102,15 @@ def _tiles(fp: np.ndarray, many: np.ndarray):
     return order, np.stack([starts, ends, many[starts], many[ends - 1], np.minimum.reduceat(bits, starts), np.maximum.reduceat(bits, starts)], axis=1)
 
 
-def candidate_forest(fp: np.ndarray, many: np.ndarray, sketches: np.ndarray, own: int, radius: int, similarity: float):
-    """Index pairs of a forest over candidates among all rows (``own`` 0), or between the first ``own`` and
-    the rest. Tile pairs whose bit counts differ by more than the radius are skipped, and those whose
-    sets differ too much in size to be as similar as that."""
+def candidates(fp: np.ndarray, many: np.ndarray, sketches: np.ndarray, own: int, radius: int, similarity: float, wanted):
+    """Index pairs (u, v), strip by strip, that may be as similar as that: among all rows (``own`` 0), or
+    between the first ``own`` and the rest. Tile pairs whose bit counts differ by more than the radius are
+    skipped, and those whose sets differ too much in size. ``wanted(u, v)`` says which pairs are still
+    worth a look, before their sketches are compared."""
     left, right = (slice(None), slice(None)) if not own else (slice(own), slice(own, None))
     order_a, box_a = _tiles(fp[left], many[left])
     order_b, box_b = (order_a, box_a) if not own else _tiles(fp[right], many[right])
     sa, sb = fp[left][order_a], fp[right][order_b]
-    forest = BestForest(len(fp))
     wide, count = np.empty(simhash._ROWS * simhash._COLUMNS, np.uint64), np.empty(simhash._ROWS * simhash._COLUMNS, np.uint8)
     for k, (i, j, fewest, most, low, high) in enumerate(box_a):
         near = (box_b[:, 3] >= similarity * fewest) & (most >= similarity * box_b[:, 2])
@@ -164,17 +131,43 @@ def candidate_forest(fp: np.ndarray, many: np.ndarray, sketches: np.ndarray, own
                     keep = u + top < v + s
                     u, v = u[keep], v[keep]
                 u, v = order_a[u + top], order_b[v + s] + own
-                keep = forest.sure.root[u] != forest.sure.root[v]
-                keep &= np.minimum(many[u], many[v]) >= similarity * np.maximum(many[u], many[v])
+                keep = (np.minimum(many[u], many[v]) >= similarity * np.maximum(many[u], many[v])) & wanted(u, v)
                 u, v = u[keep], v[keep]
-                if not len(u):
-                    continue
-                alike = estimate(sketches[u], sketches[v])
-                keep = alike >= similarity - _SHORT
-                u, v, alike = u[keep], v[keep], alike[keep]
                 if len(u):
-                    forest.add(u, v, np.rint(alike * 1000).astype(np.int64), alike >= _SURE)
-    return forest.edges()[:2]
+                    keep = estimate(sketches[u], sketches[v]) >= similarity - _SHORT
+                    if keep.any():
+                        yield u[keep], v[keep]
+
+
+def candidate_nodes(fp, many, sketches, own: int, radius: int, similarity: float) -> np.ndarray:
+    """Which rows have a candidate."""
+    has = np.zeros(len(fp), bool)
+    for u, v in candidates(fp, many, sketches, own, radius, similarity, lambda u, v: ~(has[u] & has[v])):
+        has[u] = has[v] = True
+    return has
+
+
+def similar(p: np.ndarray, q: np.ndarray, similarity: float) -> bool:
+    """Whether two sets, as sorted members, are as similar as that."""
+    both = len(np.intersect1d(p, q, assume_unique=True))
+    return both >= similarity * (len(p) + len(q) - both)
+
+
+def exact_forest(fp, many, sketches, members: list[np.ndarray], own: int, radius: int, similarity: float) -> np.ndarray:
+    """Root of each row under links that the whole sets bear out."""
+    forest = simhash.Forest(len(fp))
+    for u, v in candidates(fp, many, sketches, own, radius, similarity, lambda u, v: forest.root[u] != forest.root[v]):
+        while len(u):
+            ru, rv = forest.root[u], forest.root[v]
+            apart = ru != rv
+            u, v, ru, rv = u[apart], v[apart], ru[apart], rv[apart]
+            # One pair of each two groups is decided at a time: if it stands, their others needn't be.
+            _, pick = np.unique(np.minimum(ru, rv) * len(fp) + np.maximum(ru, rv), return_index=True)
+            stands = np.array([similar(members[a], members[b], similarity) for a, b in zip(u[pick].tolist(), v[pick].tolist())], bool)
+            if stands.any():
+                forest.add(u[pick][stands], v[pick][stands])
+            u, v = np.delete(u, pick), np.delete(v, pick)
+    return forest.root
 
 
 def cells(nodes: DataFrame, similarity: float, group_rows: int, lists: dict[str, str]) -> DataFrame:
@@ -199,18 +192,47 @@ def cells(nodes: DataFrame, similarity: float, group_rows: int, lists: dict[str,
     return simhash.deal(marked, ["class"], of, first, [b[2] for b in bands], near, lists)
 
 
-def _compare(radius: int, similarity: float):
+_LISTS = {"fps": "fp", "manys": "many", "sketches": "sketch", "nodes": "node"}
+
+
+def _read(table: pa.Table, lists):
+    """(rows of both groups by list, how many the first has or 0 if the cell is one group's own), or None
+    where the other group is empty."""
+    rows = table.sort_by("g")
+    same = rows.column("ci")[0].as_py() == rows.column("cj")[0].as_py()
+    if not same and rows.num_rows < 2:
+        return None
+    parts = {c: [rows.column(c)[k].values for k in range(rows.num_rows)] for c in lists}
+    joined = {c: pa.concat_arrays(v) for c, v in parts.items()}
+    return joined, 0 if same else len(parts["fps"][0])
+
+
+def _numbers(got):
+    sketches = np.frombuffer(b"".join(got["sketches"].to_pylist()), np.uint8).reshape(-1, BINS)
+    return got["fps"].to_numpy().view(np.uint64), got["manys"].to_numpy(), sketches
+
+
+def _find(radius: int, similarity: float):
     def run(table: pa.Table) -> pa.Table:
-        rows = table.sort_by("g")
-        parts = [tuple(rows.column(c)[k].values for c in ("fps", "manys", "sketches", "nodes")) for k in range(rows.num_rows)]
-        same = rows.column("ci")[0].as_py() == rows.column("cj")[0].as_py()
-        u = v = np.empty(0, np.int64)
-        nodes = np.concatenate([p[3].to_numpy(zero_copy_only=False) for p in parts])
-        if same or len(parts) > 1:
-            fp, many = np.concatenate([p[0].to_numpy() for p in parts]).view(np.uint64), np.concatenate([p[1].to_numpy() for p in parts])
-            sketches = np.frombuffer(b"".join(x for p in parts for x in p[2].to_pylist()), np.uint8).reshape(-1, BINS)
-            u, v = candidate_forest(fp, many, sketches, 0 if same else len(parts[0][0]), radius, similarity)
-        return pa.table({"a": pa.array(nodes[u].tolist(), pa.binary()), "b": pa.array(nodes[v].tolist(), pa.binary())})
+        read = _read(table, _LISTS)
+        if read is None:
+            return pa.table({"node": pa.array([], pa.binary())})
+        got, own = read
+        return pa.table({"node": got["nodes"].filter(pa.array(candidate_nodes(*_numbers(got), own, radius, similarity)))})
+
+    return run
+
+
+def _decide(radius: int, similarity: float):
+    def run(table: pa.Table) -> pa.Table:
+        read = _read(table, [*_LISTS, "sets"])
+        if read is None:
+            return pa.table({"a": pa.array([], pa.binary()), "b": pa.array([], pa.binary())})
+        got, own = read
+        members = [np.frombuffer(x.as_buffer(), np.uint64) for x in got["sets"]]
+        root = exact_forest(*_numbers(got), members, own, radius, similarity)
+        moved = np.flatnonzero(root != np.arange(len(root)))
+        return pa.table({"a": got["nodes"].take(pa.array(moved)), "b": got["nodes"].take(pa.array(root[moved]))})
 
     return run
 
@@ -221,19 +243,6 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([pa.array(map(_node, sets), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "members"])
 
 
-def _verify(similarity: float):
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(both >= similarity * (len(p) + len(q) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return run
-
-
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, radius: int = RADIUS, group_rows: int = 2 * simhash.GROUP_ROWS) -> DataFrame:
     """(doc_id, same, component_id) of every row of ``docs``: same is a hash of the text, component_id the
     smallest doc_id that links of at least ``similarity`` reach; null where no row of the group has one.
@@ -243,20 +252,20 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = materialize(raws.mapInArrow(_described, _DESCRIBED), "near-rows")
     first = lambda c: F.any_value(c).alias(c)
     nodes = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "same"))["same"].alias("same"), first("fp"), first("many"), first("sketch")), "near-nodes")
-    lists = {"fps": "fp", "manys": "many", "sketches": "sketch", "nodes": "node"}
-    edges = cells(nodes.filter("many > 0"), similarity, group_rows, lists).groupBy("ci", "cj").applyInArrow(_compare(radius, similarity), "a binary, b binary")
-    edges = materialize(edges.distinct(), "near-edges")
-    involved = nodes.join(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("rep", F.col("same").alias("its")).distinct()
+    found = cells(nodes.filter("many > 0"), similarity, group_rows, _LISTS).groupBy("ci", "cj").applyInArrow(_find(radius, similarity), "node binary")
+    involved = materialize(nodes.join(found.distinct(), "node", "left_semi"), "near-involved")
+    asked = involved.select("rep", F.col("same").alias("its")).distinct()
     # A node's set is made from one row's text, found by identifier and text, so that copies don't meet;
     # rows without an identifier lose their copies before they are dealt.
     named, nameless = raws.filter("doc_id IS NOT NULL"), raws.filter("doc_id IS NULL").dropDuplicates(["same"])
-    chosen = named.unionByName(nameless).join(involved, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("same") == F.col("its")), "left_semi")
+    chosen = named.unionByName(nameless).join(asked, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("same") == F.col("its")), "left_semi")
     # Repeated rows of one identifier and text come out as one set.
     sets = chosen.select("raw").mapInArrow(_sets, "node binary, members binary").groupBy("node").agg(F.any_value("members").alias("members"))
-    sets = materialize(sets, "near-sets")
-    of = lambda end: sets.select(F.col("node").alias(end), F.col("members").alias(f"of_{end}"))
-    met = edges.join(of("a"), "a").join(of("b"), "b").select("a", "b", "of_a", "of_b")
-    roots = smallest_reachable(met.mapInArrow(_verify(similarity), "a binary, b binary"))
+    sets = materialize(involved.join(sets, "node"), "near-sets")
+    size = sets.agg(F.sum("many").alias("members"), F.count("*").alias("n")).first()
+    fits = max(256, _GROUP_BYTES // max(1, 8 * (size.members or 0) // max(1, size.n)))
+    links = cells(sets, similarity, min(group_rows, fits), {**_LISTS, "sets": "members"}).groupBy("ci", "cj").applyInArrow(_decide(radius, similarity), "a binary, b binary")
+    roots = smallest_reachable(links)
     placed = nodes.join(roots, nodes.node == roots.a, "left").select("node", "rep", F.coalesce("b", "node").alias("root"))
     smallest = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
     return rows.select("doc_id", "same", "node").join(placed.join(smallest, "root").select("node", "component_id"), "node").select("doc_id", "same", "component_id")

@@ -217,7 +217,7 @@ def deal(marked: DataFrame, keys: list[str], of: dict[tuple, int], first: list[i
     named = ", ".join(f"{k} int" for k in keys)
     classes = spark.createDataFrame([(*c, b, int(first[b]), groups[b]) for c, b in of.items()], f"{named}, band int, first long, groups long")
     near = spark.createDataFrame([(b, int(i), int(j)) for b, i, j in near], "band int, from long, to long")
-    spread = F.pmod(F.xxhash64(*dict.fromkeys(["fp", *lists.values()])), F.col("groups"))
+    spread = F.pmod(F.xxhash64("fp", *(c for c in lists.values() if c == "node")), F.col("groups"))
     dealt = marked.join(F.broadcast(classes), keys).groupBy("band", (F.col("first") + spread).alias("g")).agg(*(F.collect_list(c).alias(name) for name, c in lists.items()))
     return dealt.join(F.broadcast(near), "band").withColumn("other", F.explode(F.sequence("from", "to"))).select(
         F.least("g", "other").alias("ci"), F.greatest("g", "other").alias("cj"), "g", *lists

@@ -188,29 +188,21 @@ def test_similar_odd(odd, none):
     assert nearcopies.drop_similar(none).count() == 0
 
 
-def test_best_forest_is_spanning_and_best():
-    g = random.Random(4)
-    for _ in range(40):
-        n = g.randint(2, 40)
-        pairs = [(g.randrange(n), g.randrange(n), g.randint(1, 9)) for _ in range(g.randint(1, 150))]
-        pairs = [p for p in pairs if p[0] != p[1]]
-        f = nearcopies.BestForest(n)
-        for k in range(0, len(pairs), 7):
-            f.add(*(np.array(c) for c in zip(*pairs[k : k + 7])), np.zeros(len(pairs[k : k + 7]), bool))
-        u, v, w = f.edges()
-
-        def tree(edges):
-            root, total, used = list(range(n)), 0, 0
-            for a, b, x in sorted(edges, key=lambda e: -e[2]):
-                while root[a] != a:
-                    a = root[a]
-                while root[b] != b:
-                    b = root[b]
-                if a != b:
-                    root[b], total, used = a, total + x, used + 1
-            return total, used
-
-        assert tree(pairs) == (w.sum(), len(w)) == tree(list(zip(u.tolist(), v.tolist(), w.tolist())))
+def test_groups_at_the_border_by_brute_force(spark):
+    """Families whose pairs lie on both sides of 0.8, in whatever order they come: the groups are those
+    of all pairs, every time."""
+    g = random.Random(5)
+    rows = []
+    for family in range(6):
+        words = [f"f{family}w{g.randrange(5000)}" for _ in range(300)]
+        rows += [(1000 * family + k, edited(g, words, g.choice([3, 5, 6, 7, 8]))) for k in range(30)]
+    want = Counter(zip((i for i, _ in rows), brute_groups(rows)))
+    assert 6 < len({c for _, c in want}) < len(rows)
+    for seed in (1, 2):
+        random.Random(seed).shuffle(rows)
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3 + seed)
+        for group_rows in (1 << 18, 50):
+            assert Counter((r.doc_id, r.component_id) for r in nearcopies.similar_groups(df, group_rows=group_rows).collect()) == want
 
 
 def test_one_identifier_of_unlike_texts_joins_nothing(spark):
