@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.functions.text import has_words, length_bucket, short_text, word_count
-from plumbline.plans.shared import materialize
+from plumbline.plans.shared import read_table, table_exists, write_table
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_PREPARED: dict[tuple, DataFrame] = {}
+_PREPARED: dict[tuple, tuple[str, DataFrame]] = {}
 
 
 def _stamp(spark: SparkSession, df: DataFrame) -> tuple:
@@ -28,14 +28,16 @@ def counted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     files, and the narrow result is written."""
     docs = load(spark, sf_dir, "documents")
     key = (spark.sparkContext.applicationId, *_stamp(spark, docs))
-    if key not in _PREPARED:
+    if key not in _PREPARED or not table_exists(spark, _PREPARED[key][0]):
         # Few files or row groups would be as few tasks; words are counted in as many as there are cores.
         slices = docs.select("doc_id", "lang", "source", "text", F.col("n_chars").cast("double").alias("c")).filter(has_words("text"))
         if slices.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
             slices = slices.repartition(spark.sparkContext.defaultParallelism)
         rows = slices.select("doc_id", "lang", "source", "c", word_count("text").alias("n_words"))
-        _PREPARED[key] = materialize(rows.select("doc_id", "lang", "source", "n_words", (F.col("c") / F.col("n_words")).alias("score")), "documents-counted")
-    return _PREPARED[key]
+        rows = rows.select("doc_id", "lang", "source", "n_words", (F.col("c") / F.col("n_words")).alias("score"))
+        path = write_table(rows, "documents-counted")
+        _PREPARED[key] = path, read_table(spark, path, rows.schema)
+    return _PREPARED[key][1]
 
 
 def scored(spark: SparkSession, sf_dir: str, label: str = "lang") -> DataFrame:
