@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from plumbline.plans.shared import materialize
+
 #: Rows an Arrow batch may hold: texts can be very long, so batches are kept short.
 BATCH_ROWS = 1000
 
@@ -31,3 +33,15 @@ def short_batches(spark) -> None:
 def id_hash(column: str, modulus: int):
     """crc32 of the identifier's decimal text, modulo ``modulus`` (null for a null identifier)."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus)
+
+
+#: Rows of a few numbers that may go to every executor: tens of megabytes.
+BROADCAST_ROWS = 1 << 20
+
+
+def narrow(keys: DataFrame, label: str) -> DataFrame:
+    """``keys`` (a few numbers a row), written and counted: sent to every executor if there are at most
+    ``BROADCAST_ROWS`` of them, so that the texts they are joined to stay where they are, and joined by a
+    shuffle if there are more."""
+    keys = materialize(keys, label)
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys

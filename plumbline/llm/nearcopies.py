@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from plumbline.llm import simhash
-from plumbline.llm.common import short_batches, utf8
+from plumbline.llm.common import narrow, short_batches, utf8
 from plumbline.llm.components import smallest_reachable
 from plumbline.plans.shared import materialize
 
@@ -254,7 +254,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     nodes = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "same"))["same"].alias("same"), first("fp"), first("many"), first("sketch")), "near-nodes")
     found = cells(nodes.filter("many > 0"), similarity, group_rows, _LISTS).groupBy("ci", "cj").applyInArrow(_find(radius, similarity), "node binary")
     involved = materialize(nodes.join(found.distinct(), "node", "left_semi"), "near-involved")
-    asked = involved.select("rep", F.col("same").alias("its")).distinct()
+    asked = narrow(involved.select("rep", F.col("same").alias("its")).distinct(), "near-asked")
     # A node's set is made from one row's text, found by identifier and text, so that copies don't meet;
     # rows without an identifier lose their copies before they are dealt.
     named, nameless = raws.filter("doc_id IS NOT NULL"), raws.filter("doc_id IS NULL").dropDuplicates(["same"])

@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from plumbline.llm.common import raw_texts, short_batches, utf8
+from plumbline.llm.common import narrow, raw_texts, short_batches, utf8
 from plumbline.llm.components import smallest_reachable
 from plumbline.plans.shared import materialize
 
@@ -268,4 +268,4 @@ def without_copies(docs: DataFrame, marked: DataFrame, id_col: str, text_col: st
     """``docs`` without the rows whose (doc_id, same) has a component_id that isn't the doc_id."""
     gone = marked.filter("component_id is not null and not (doc_id <=> component_id)").select(F.col("doc_id").alias(_GONE_ID), F.col("same").alias(_GONE_TEXT)).distinct()
     here = F.col(id_col).cast("long").eqNullSafe(F.col(_GONE_ID)) & (F.xxhash64(utf8(text_col)) == F.col(_GONE_TEXT))
-    return docs.join(gone, here, "left_anti")
+    return docs.join(narrow(gone, "simhash-gone"), here, "left_anti")
