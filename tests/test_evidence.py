@@ -95,7 +95,8 @@ def test_texts_for_people_and_addresses(spark):
 
     df = spark.createDataFrame([(0.125, "http://u:p@Host.example:80/a?b#c"), (None, "no address"), (-0.5, "a b*c~d+é/ü&=")], "x double, u string")
     got = df.select(text.percent("x").alias("p"), text.signed("x", 2).alias("s"), text.url_host("u").alias("h"), text.url_quoted("u").alias("q")).collect()
-    assert [r.p for r in got] == ["12.5 %", "withheld", "-50.0 %"] and [r.s for r in got] == ["+0.13", None, "-0.50"]
+    assert [r.p for r in got] == ["12.5 %", "withheld", "-50.0 %"] and [r.s for r in got] == ["+0.12", None, "-0.50"]
+    assert [r.p for r in spark.createDataFrame([(0.0625,), (0.0015,), (0.00075,)], "x double").select(text.percent("x").alias("p")).collect()] == [f"{100 * x:.1f} %" for x in (0.0625, 0.0015, 0.00075)]
     assert [r.h for r in got] == ["host.example", None, None] and got[2].q == "a%20b%2Ac~d%2B%C3%A9%2F%C3%BC%26%3D"
 
 
